@@ -138,20 +138,19 @@ def run_units(rp: DataFrame, metric: DataFrame, runs: DataFrame) -> DataFrame:
     typical = per.agg(
         F.percentile_approx(F.col("dt") * scale("t", TRANSLATION), 0.5, 1000).alias("typ_t"),
         F.percentile_approx(F.col("dr") * scale("r", ROTATION), 0.5, 1000).alias("typ_r"),
-    )  # one row, so its broadcast has a fixed size
-    per = per.join(F.broadcast(typical), F.lit(True), "left")
+    ).first()  # two numbers from the checkpointed rows
 
-    def snap(c: str, typ: str, m: dict[str, float], usual: str) -> Column:
+    def snap(c: str, typ: float | None, m: dict[str, float], usual: str) -> Column:
         off = F.array(*[
-            F.struct(F.abs(F.log(F.col(c) * s / F.when(F.col(typ) > 0, F.col(typ)).otherwise(0.2))).alias("e"), F.lit(u).alias("u"))
+            F.struct(F.abs(F.log(F.col(c) * (s / (typ or 0.2)))).alias("e"), F.lit(u).alias("u"))
             for u, s in m.items() if u in INFERABLE
         ])
         return F.when(F.col(c) > 0, F.array_min(off)["u"]).otherwise(usual)
 
     return per.select(
         "run_id", "fsl",
-        F.coalesce("t", snap("dt", "typ_t", TRANSLATION, "mm")).alias("translation"),
-        F.coalesce("r", snap("dr", "typ_r", ROTATION, "deg")).alias("rotation"),
+        F.coalesce("t", snap("dt", typical["typ_t"], TRANSLATION, "mm")).alias("translation"),
+        F.coalesce("r", snap("dr", typical["typ_r"], ROTATION, "deg")).alias("rotation"),
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -57,6 +58,19 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder, read back: computed once, its lineage cut."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int) -> DataFrame:
+    """A join whose right side, a written table, is broadcast only if it has at most ``limit`` rows."""
+    few = right.limit(limit + 1).count() <= limit
+    return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame written once to the shared folder, its lineage cut; survives a lost executor."""
     sc = df.sparkSession.sparkContext
