@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import shared_spans, tokenize
+from . import leakage, shared_spans, tokenize
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_characters(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found)}
 
 ORACLE: dict[str, str] = {}

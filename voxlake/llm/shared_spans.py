@@ -3,7 +3,7 @@
 MinHash over paragraphs, tuned to miss nothing: the paragraphs are all windows of ``SPAN`` characters, the
 shingles all runs of ``SHINGLE`` characters, and a band is one row, so two equal windows always collide on
 their smallest shingle hash (neighbouring windows mostly share it, which leaves about one stored shingle in
-65 characters). A stored shingle "owns" the consecutive windows whose minimum it is.
+50 characters). A stored shingle "owns" the consecutive windows whose minimum it is.
 
 Colliding shingles are verified exactly. Occurrences are grouped to classes by the hash of all text their
 windows cover: a class with two records is shared as a whole. What remains (the edges of copied passages)
@@ -20,22 +20,23 @@ share with itself, whatever their texts; a span repeated inside one record only
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import shared_dir
+from ..session import joined, written
 
 SPAN = 160
-SHINGLE = 32
+SHINGLE = 64
 PAIRS = 12
 CHUNK = 400_000
 
 _B = 0x9E3779B97F4A7C15 | 1
-_STORED = "fp long, doc_id long, pos int, lo int, hi int, ctx long"
+_STORED = "fp long, ctx long, doc_id long, place long"
+#: Rows up to which a written side of a join is broadcast (two or three longs each); beyond, it is shuffled.
+FEW = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -125,9 +126,9 @@ def _shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def flush():
         # Pieces of a long text carry their place in it.
         fp, n, pos, lo, hi, ctx = stored_shingles(list(range(len(ids))), codes, hasher)
-        at = np.asarray(shift)[n]
-        cols = [fp, np.asarray(ids, np.int64)[n], *[(c + at).astype(np.int32) for c in (pos, lo, hi)], ctx]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "doc_id", "pos", "lo", "hi", "ctx"])
+        # Windows owned never exceed SPAN - SHINGLE + 1, so both distances fit in a byte.
+        place = (lo + np.asarray(shift, np.int64)[n] << 16) | (pos - lo << 8) | (hi - lo)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (fp, ctx, np.asarray(ids, np.int64)[n], place)], ["fp", "ctx", "doc_id", "place"])
 
     for b in batches:
         names, texts = b.column(0).to_pylist(), b.column(1)
@@ -150,7 +151,7 @@ def _shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def shingles(documents: DataFrame) -> DataFrame:
-    """The stored shingles of all records: fp, doc_id, pos, lo, hi (windows owned), ctx (hash of their text)."""
+    """The stored shingles of all records: fp, ctx (hash of the text of the windows owned), doc_id, place."""
     long = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= SPAN))
     return long.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_shingle_kernel, _STORED)
 
@@ -248,16 +249,18 @@ def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def shared_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, a, b): spans [a, b) of records that also stand in another record; spans may overlap."""
-    spark = documents.sparkSession
-    place = f"{shared_dir(spark)}/shingles-{uuid.uuid4().hex}"
-    shingles(documents).write.parquet(place)
-    fps = spark.read.parquet(place)
-    # Collisions between records, counted before the shuffle of the rows themselves.
+    fps = written(shingles(documents), "shingles")
+    # Collisions between records, counted before any shuffle of the rows themselves.
     multi = fps.groupBy("fp").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("fp")
-    hits = fps.join(multi, "fp")
+    hits = joined(fps, written(multi, "collisions"), ["fp"], "inner", FEW)
+    hits = written(hits, "hits").select(
+        "fp", "ctx", "doc_id", F.expr("cast(place >> 16 as int)").alias("lo"),
+        F.expr("cast((place >> 16) + ((place >> 8) & 255) as int)").alias("pos"), F.expr("cast((place >> 16) + (place & 255) as int)").alias("hi"),
+    )
     classes = hits.groupBy("fp", "ctx").agg(
         F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("rep")
     )
+    classes = written(classes, "classes")
     many = F.col("d0") != F.col("d1")
     whole = hits.join(classes.where(many).select("fp", "ctx"), ["fp", "ctx"], "left_semi").select(
         "doc_id", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b")
@@ -269,14 +272,12 @@ def shared_spans(documents: DataFrame) -> DataFrame:
     )
     # The size of the group rides on the sign of n: negative for large groups.
     signed = F.when(F.col("size") > PAIRS, -F.col("n")).otherwise(F.col("n")).alias("n")
-    asks = asked.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "ctx", signed, "pos", "lo", "hi")).alias("asks"))
-    parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(asks, "doc_id")
-    parts = parts.select("doc_id", "text", "asks").mapInArrow(
+    asks = written(asked.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "ctx", signed, "pos", "lo", "hi")).alias("asks")), "asks")
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = joined(texts, asks, ["doc_id"], "inner", FEW // 10).select("doc_id", "text", "asks").mapInArrow(
         _cut_kernel, "fp long, ctx long, n int, doc_id long, pos int, lo int, hi int, part string"
     )
-    place2 = f"{place}-parts"
-    parts.write.parquet(place2)
-    parts = spark.read.parquet(place2)
+    parts = written(parts, "parts")
     small = parts.where("n > 0").repartition("fp").sortWithinPartitions("fp").mapInArrow(_pair_kernel, "doc_id long, a int, b int")
     windows = parts.where("n < 0").mapInArrow(_window_kernel, "fp long, key long, n int, doc_id long, at int")
     both = windows.groupBy("fp", "key").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("n").alias("n0")).where("d0 <> d1 or n0 = -2")
