@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, shared_spans, tokenize
+from . import leakage, pii, shared_spans, tokenize
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_items(table(spark, d, "headerinfo"))
+
+
+def p2_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked_texts(table(spark, d, "headerinfo"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +28,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_characters(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p6_ids, p7_found, p8_found)}
 
 ORACLE: dict[str, str] = {}
