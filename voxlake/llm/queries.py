@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, pii, shared_spans, tokenize
+from . import leakage, names, pii, shared_spans, tokenize
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,14 @@ def p2_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked_texts(table(spark, d, "headerinfo"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_pairs(table(spark, d, "headerinfo"))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_values(table(spark, d, "headerinfo"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"))
 
@@ -28,6 +36,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_characters(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p6_ids, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p3_found, p3_entities, p6_ids, p7_found, p8_found)}
 
 ORACLE: dict[str, str] = {}
