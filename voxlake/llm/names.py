@@ -99,6 +99,7 @@ KIND_WORDS = (
 KIND_FORMS = {"center": "centre", "ctr": "centre", "childrens": "children", "childrensclinic": "children", "klinik": "clinic", "klinikum": "clinic", "institut": "institute"}
 ACRONYMS = {"uh": "hospital university", "brc": "brain centre research", "gi": "general infirmary", "cc": "children clinic", "ion": "institute neuroimaging", "in": "institute neuroimaging"}
 UNITS = frozenset("dept department radiology neurology unit mri mrt section division ward lab abteilung service psychiatry cardiology neuroradiology".split())
+NOBODY = frozenset("operator tech technician mri mrt user admin staff unknown nurse radiographer test phantom anonymous none patient pilot".split())
 STOP = frozenset("of for the f and de la der des du fur".split())
 
 
@@ -173,7 +174,7 @@ def person_words(value: str) -> tuple[list[str], bool | None]:
 def person_parts(value: str, given: frozenset[str]) -> tuple[str, str] | None:
     """(first part, second part): full given name or an initial with a point, and surname."""
     words, first = person_words(value)
-    if len(words) < 2:
+    if len(words) < 2 or not NOBODY.isdisjoint(words):
         return None
     if len(words[0]) == 1 or len(words[-1]) == 1:
         k = 0 if len(words[0]) == 1 else -1
