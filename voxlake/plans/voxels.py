@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import spectrum
 from ..operators import layouts, masks, motion, multivariate, spatial, temporal
 from ..session import table
+from .voxels_sql import ORACLE as SQL
 
 T, TR, F1, F2 = 64, 2.0, 0.009, 0.08
 DIGITS = 6
@@ -458,4 +459,4 @@ value_range modal_hist modal_value dvars_range dvars_modal flag_dilate frame_map
 smooth_gauss border_distance rescale_dist8 interp_lanczos3 interp_trilinear mult_div paste_regressors supplier_corr supplier_regress events_daily
 events_ttest flagship_dmn""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
-ORACLE: dict[str, str] = {}
+ORACLE = SQL
