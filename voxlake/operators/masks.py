@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 POINT = 0.01  # members of the point list
 SKIP = 0.1  # members for the skip inside temporal tools
@@ -86,9 +86,11 @@ def random_cells(cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` cells above 0.5 without replacement, by the order of a hash; fewer cells than ``n`` are an error."""
     have = cells.where("v > 0.5")
     picked = have.orderBy(F.xxhash64(*XYZ, F.lit(seed)), *XYZ).limit(n)
-    return picked.withColumn("_n", F.count("*").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())).select(
-        *cells.columns, F.when(F.col("_n") < n, F.raise_error(F.lit(f"fewer than {n} cells to sample"))).cast("int").alias("_e")
-    ).drop("_e")
+    picked = picked.withColumn("_n", F.count("*").over(Window.partitionBy()))  # at most n rows
+    short = F.raise_error(F.lit(f"fewer than {n} cells to sample"))
+    first = cells.columns[0]
+    checked = F.when(F.col("_n") < n, short.cast(cells.schema[first].dataType)).otherwise(F.col(first)).alias(first)
+    return picked.select(checked, *cells.columns[1:])
 
 
 def resampled_index(i: Column, old: int, new: int) -> Column:

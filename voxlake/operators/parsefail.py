@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 #: (violation class, reason, priority): the reason with the lowest priority number wins.
 RULES = (("broken_quote", "quoting", 1), ("wrong_count", "column_count", 2), ("not_number", "invalid_value", 3))
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
 def parse_cells(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def parse_cells(lines: DataFrame, files: DataFrame) -> DataFrame:
     violation (null if none).
     """
     f = files.groupBy("file_id").agg(F.max("n_columns").alias("n_columns"))
-    body = F.regexp_replace(F.regexp_replace("raw", r"\r$", ""), r"^[ \t]+|[ \t]+$", "")
+    body = F.regexp_replace(F.regexp_replace("raw", r"\r\z", ""), r"\A[ \t]+|[ \t]+\z", "")
     rows = (
         lines.select("line_id", "file_id", "line_no", body.alias("body"))
         .where("body <> ''")
@@ -39,7 +39,7 @@ def parse_cells(lines: DataFrame, files: DataFrame) -> DataFrame:
         "line_id", "file_id", "line_no", "head", F.posexplode(F.concat(F.array(F.lit("")), "cells")).alias("col", "cell")
     )
     bare = F.when(F.col("cell").startswith('"'), F.expr("substring(cell, 2, length(cell) - 2)")).otherwise(F.col("cell"))
-    broken = F.col("cell").contains('"') & ~F.col("cell").rlike('^"[^"]*"$')
+    broken = F.col("cell").contains('"') & ~F.col("cell").rlike(r'\A"[^"]*"\z')
     number = F.when(bare.rlike(NUMBER), bare).try_cast("double")
     cells = cells.withColumn("number", F.when((F.col("col") > 0) & ~broken, number))
     good = F.col("number").isNotNull() & (F.abs("number") < F.lit(float("inf")))

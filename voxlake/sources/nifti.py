@@ -1,8 +1,10 @@
 """NIfTI-1 images as a Spark data source, after the public format specification.
 
 Reading gives long samples (image, voxel, x, y, z, t, v). An uncompressed file is cut into ranges of frames,
-each a task that seeks to its own bytes; a gzip file is one task. Filters on t, x, y and z that reach the
-reader decide which frames are read and which samples leave it. ``nifti_header`` reads headers only.
+each a task that seeks to its own bytes; a gzip file is one task. The options t, x, y and z (``3`` or ``3:7``)
+decide which frames are read and which samples leave the reader. They are options and no pushed filters, as
+this version of Spark keeps what a reader was pushed for later scans of the same DataFrame, which would then
+miss rows. ``nifti_header`` reads headers only.
 
 Writing places each task's samples at their offsets in one preallocated file on a file system all executors
 share; the file gets its name when all tasks are done.
@@ -22,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Datatype code to numpy type, and back (fixed values of the format).
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -199,6 +201,14 @@ def paths_of(options: dict) -> list[str]:
     return out
 
 
+def span(text: str | None) -> tuple[int, int]:
+    """First and last index of ``3`` or ``3:7``; everything where nothing is given."""
+    if not text:
+        return 0, 1 << 30
+    a, _, b = text.partition(":")
+    return int(a), int(b or a)
+
+
 class Frames(InputPartition):
     def __init__(self, path: str, first: int, last: int):
         super().__init__(None)
@@ -208,21 +218,7 @@ class Frames(InputPartition):
 class SampleReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
-        self.bounds = {c: [0, 1 << 30] for c in "xyzt"}
-
-    def pushFilters(self, filters):
-        """Comparisons of t, x, y, z with whole numbers narrow what is read; all others stay with Spark."""
-        for f in filters:
-            known = isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual))
-            b = self.bounds.get(f.attribute[0]) if known and len(f.attribute) == 1 and isinstance(f.value, int) else None
-            if b is None:
-                yield f
-            elif isinstance(f, EqualTo):
-                b[0], b[1] = max(b[0], f.value), min(b[1], f.value)
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                b[0] = max(b[0], f.value + isinstance(f, GreaterThan))
-            else:
-                b[1] = min(b[1], f.value - isinstance(f, LessThan))
+        self.bounds = {c: span(options.get(c)) for c in "xyzt"}
 
     def partitions(self):
         wanted = int(self.options.get("values_per_task", 16_000_000))
@@ -377,7 +373,6 @@ class NiftiHeaderSource(DataSource):
 
 def register(spark) -> None:
     """Make ``spark.read.format("nifti")`` and ``("nifti_header")`` known."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NiftiSource)
     spark.dataSource.register(NiftiHeaderSource)
 
