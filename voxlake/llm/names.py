@@ -200,7 +200,7 @@ def _kind_word(w: str) -> str | None:
 
 
 def institution_parts(value: str) -> tuple[str, str] | None:
-    """(kind, place) of an institution; departments belong to theirs."""
+    """(kind, place) of an institution; departments belong to theirs. A value without a kind or a place names none."""
     kinds: set[str] = set()
     place: list[str] = []
     for raw in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", value):
@@ -213,7 +213,7 @@ def institution_parts(value: str) -> tuple[str, str] | None:
             kinds.add(k)
         elif not any(len(u) > 4 and within_one(w, u) for u in UNITS):
             place.append(w)
-    if not place or re.fullmatch(r"(?i)anonym\w*|unknown|none|null|test|n|x+", "".join(place)):
+    if not kinds or not place or re.fullmatch(r"(?i)anonym\w*|unknown|none|null|test|n|x+", "".join(place)):
         return None
     return " ".join(sorted(kinds)), "".join(place)
 
@@ -251,7 +251,7 @@ def _parse(values: DataFrame, given: frozenset[str]) -> DataFrame:
             types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["field", "value", "n", "p", "s"])
 
-    return values.mapInArrow(work, "field string, value string, n long, p string, s string")
+    return values.repartition("value").mapInArrow(work, "field string, value string, n long, p string, s string")
 
 
 def _given(values: DataFrame) -> frozenset[str]:
@@ -286,7 +286,7 @@ def _cells(nodes: DataFrame, pivots: list[str]) -> DataFrame:
             types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["field", "cell", "v", "id", "p", "s"])
 
-    return nodes.select("field", "id", "p", "s").mapInArrow(work, "field string, cell string, v string, id long, p string, s string")
+    return nodes.select("field", "id", "p", "s").repartition("id").mapInArrow(work, "field string, cell string, v string, id long, p string, s string")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:

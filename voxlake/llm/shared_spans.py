@@ -197,54 +197,55 @@ def _shared_windows(a: str, pa_: int, b: str, pb: int) -> tuple[int, int] | None
 
 
 def _pair_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by fp, one per class of a small group: compare all classes of the group."""
+    """Rows sorted by fp, one per class of a small group: (fp, ctx, l, r) of the spans that classes of one record share."""
 
     def judge(group: list[tuple]) -> list[tuple]:
         out = []
-        for i, (_, na, da, pa_, la, ta) in enumerate(group):
-            for _, nb, db, pb, lb, tb in group[i + 1 :]:
+        for i, (fp, ca, na, da, pa_, la, ta) in enumerate(group):
+            for _, cb, nb, db, pb, lb, tb in group[i + 1 :]:
                 if da == db and na == 1 and nb == 1:
                     continue
                 e = _shared_windows(ta, pa_ - la, tb, pb - lb)
                 if e:
-                    if na == 1:
-                        out.append((da, pa_ - e[0], pa_ + e[1]))
-                    if nb == 1:
-                        out.append((db, pb - e[0], pb + e[1]))
+                    out += [(fp, c, -e[0], e[1]) for c, n in ((ca, na), (cb, nb)) if n == 1]
         return out
 
     group: list[tuple] = []
     for b in batches:
         found: list[tuple] = []
-        for row in zip(*[b.column(c).to_pylist() for c in ("fp", "n", "doc_id", "pos", "lo", "part")]):
+        for row in zip(*[b.column(c).to_pylist() for c in ("fp", "ctx", "n", "doc_id", "pos", "lo", "part")]):
             if group and group[0][0] != row[0]:
                 found += judge(group)
                 group = []
             group.append(row)
-        yield _intervals(found)
+        yield _spans(found)
     if group:
-        yield _intervals(judge(group))
+        yield _spans(judge(group))
 
 
-def _intervals(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["doc_id", "a", "b"])
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 4
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["fp", "ctx", "l", "r"])
 
 
 def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a context: (fp, key, n, doc_id, at)."""
+    """Every window of a context: (fp, key, n, doc_id, ctx, l), l counted from the shingle."""
     hasher = Hasher(4 * SPAN)
+    names = ["fp", "key", "n", "doc_id", "ctx", "l"]
     for b in batches:
-        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for fp, n, doc, pos, lo, part in zip(*[b.column(c).to_pylist() for c in ("fp", "n", "doc_id", "pos", "lo", "part")]):
+        cols: list[list[np.ndarray]] = [[] for _ in names]
+        for fp, ctx, n, doc, pos, lo, part in zip(*[b.column(c).to_pylist() for c in ("fp", "ctx", "n", "doc_id", "pos", "lo", "part")]):
             c = _codes(part)
             s = hasher.prefix(c)
             k = np.arange(len(c) - SPAN + 1)
-            key = hasher.span(s, k, k + SPAN) ^ _mix((k + lo - pos + (1 << 30)).astype(np.uint64))
-            for x, v in zip(cols, (np.full(len(k), fp), key.view(np.int64), np.full(len(k), n, np.int32), np.full(len(k), doc), (k + lo).astype(np.int32))):
+            at = k + lo - pos
+            key = hasher.span(s, k, k + SPAN) ^ _mix((at + (1 << 30)).astype(np.uint64))
+            m = len(k)
+            for x, v in zip(cols, (np.full(m, fp), key.view(np.int64), np.full(m, n, np.int32), np.full(m, doc), np.full(m, ctx), at.astype(np.int32))):
                 x.append(v)
         if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["fp", "key", "n", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
 
 def shared_spans(documents: DataFrame) -> DataFrame:
@@ -278,13 +279,13 @@ def shared_spans(documents: DataFrame) -> DataFrame:
         _cut_kernel, "fp long, ctx long, n int, doc_id long, pos int, lo int, hi int, part string"
     )
     parts = written(parts, "parts")
-    small = parts.where("n > 0").repartition("fp").sortWithinPartitions("fp").mapInArrow(_pair_kernel, "doc_id long, a int, b int")
-    windows = parts.where("n < 0").mapInArrow(_window_kernel, "fp long, key long, n int, doc_id long, at int")
+    small = parts.where("n > 0").repartition("fp").sortWithinPartitions("fp").mapInArrow(_pair_kernel, "fp long, ctx long, l int, r int")
+    windows = parts.where("n < 0").mapInArrow(_window_kernel, "fp long, key long, n int, doc_id long, ctx long, l int")
     both = windows.groupBy("fp", "key").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("n").alias("n0")).where("d0 <> d1 or n0 = -2")
-    large = windows.where("n = -1").join(both.select("fp", "key"), ["fp", "key"], "left_semi").select(
-        "doc_id", F.col("at").alias("a"), (F.col("at") + SPAN).alias("b")
-    )
-    return whole.unionByName(small).unionByName(large)
+    large = windows.where("n = -1").join(both.select("fp", "key"), ["fp", "key"], "left_semi").select("fp", "ctx", "l", (F.col("l") + SPAN).alias("r"))
+    # A class of one record may stand in it several times.
+    edges = hits.join(small.unionByName(large), ["fp", "ctx"]).select("doc_id", (F.col("pos") + F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
+    return whole.unionByName(edges)
 
 
 def shared_characters(documents: DataFrame) -> DataFrame:
