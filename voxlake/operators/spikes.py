@@ -35,7 +35,7 @@ MARGIN = 32
 STUCK = 6
 RISK = 1e-6
 #: Bounds of the cutoff in robust standard deviations, and the bound of the impossible.
-BOUNDS = {"rp": (9.0, 13.0, 1000.0), "fd": (9.0, 15.0, 1000.0), "dvars": (5.5, 7.0, 1000.0)}
+BOUNDS = {"rp": (8.0, 10.0, 1000.0), "fd": (9.0, 15.0, 1000.0), "dvars": (5.2, 5.8, 1000.0)}
 #: Series padded side by side are processed in groups of about this many values.
 GROUP_VALUES = 400_000
 
