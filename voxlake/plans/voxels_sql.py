@@ -109,7 +109,7 @@ def lz(d: str, a: int = 3) -> str:
 
 
 LZ = " * ".join(lz(f"d{a}") for a in "xyz")
-MASK = "m AS (SELECT x, y, z, CASE WHEN label = 2 THEN 1.0 ELSE 0.0 END AS weight FROM e)"
+MASK = "m AS (SELECT x, y, z, CASE WHEN label = 2 THEN 1.0::DOUBLE ELSE 0.0 END AS weight FROM e)"
 MOVED = lambda a, b, c: f"mv AS (SELECT x + {a} AS x, y + {b} AS y, z + {c} AS z, v FROM c)"
 MONTHS = """sm AS (SELECT l_suppkey AS voxel, CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t, avg(CAST(l_extendedprice AS DOUBLE)) AS v
   FROM lineitem GROUP BY ALL), ss AS (SELECT t, avg(v) AS value FROM sm GROUP BY t), p AS (SELECT voxel, sm.t, v, ss.value AS sv FROM sm JOIN ss USING (t))"""
@@ -131,8 +131,8 @@ ORACLE = {
     "mask_dilate": w(
         "SELECT DISTINCT m.x + a.i AS x, m.y + b.i AS y, m.z + c.i AS z FROM m, range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i) "
         "WHERE m.weight > 0.5 AND m.x + a.i BETWEEN 0 AND 7 AND m.y + b.i BETWEEN 0 AND 7 AND m.z + c.i BETWEEN 0 AND 31", MASK),
-    "roi_sphere": w("SELECT voxel, CASE WHEN sqrt(pow(3.0 * x - 12, 2) + pow(3.0 * y - 12, 2) + pow(3.0 * z - 12, 2)) <= 9 THEN 2.0 ELSE 0.0 END AS v FROM l WHERE t = 0"),
-    "roi_cube": w("SELECT voxel, CASE WHEN abs(x - 3) <= 2 AND abs(y - 4) <= 1 AND abs(z - 2) <= 1.5 THEN 1.0 ELSE 0.0 END AS v FROM l WHERE t = 0"),
+    "roi_sphere": w("SELECT voxel, CASE WHEN sqrt(pow(3.0 * x - 12, 2) + pow(3.0 * y - 12, 2) + pow(3.0 * z - 12, 2)) <= 9 THEN 2.0::DOUBLE ELSE 0.0 END AS v FROM l WHERE t = 0"),
+    "roi_cube": w("SELECT voxel, CASE WHEN abs(x - 3) <= 2 AND abs(y - 4) <= 1 AND abs(z - 2) <= 1.5 THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM l WHERE t = 0"),
     "roi_union_keep": w(
         "SELECT voxel, CASE WHEN sqrt(pow(x - 2, 2) + pow(y - 2, 2) + pow(z - 2, 2)) <= 1.5 OR (abs(x - 2) <= 3 AND abs(y - 2) <= 0.5 AND abs(z - 2) <= 0.5) "
         f"THEN 5.0 ELSE {r('v')} END AS v FROM l WHERE t = 0"),
@@ -162,7 +162,7 @@ ORACLE = {
     "bandpass": w(f"SELECT voxel, t, {r('v')} AS value FROM f", *kernel(1, 11, False)),
     "bandpass_convolution": w(f"SELECT voxel, t, {r('v')} AS value FROM f", *kernel(1, 11, False)),
     "bandpass_keepmean": w(f"SELECT voxel, t, {r('v')} AS value FROM f", *kernel(2, 11, True)),
-    "attenuation_table": f"SELECT CAST(k AS INTEGER) AS bin, {r('k / 128.0')} AS freq, CASE WHEN k BETWEEN 1 AND 11 THEN 1.0 ELSE 0.0 END AS weight FROM range(33) q(k)",
+    "attenuation_table": f"SELECT CAST(k AS INTEGER) AS bin, {r('k / 128.0')} AS freq, CASE WHEN k BETWEEN 1 AND 11 THEN 1.0::DOUBLE ELSE 0.0 END AS weight FROM range(33) q(k)",
     "attenuation_sigmoid": f"SELECT CAST(k AS INTEGER) AS bin, {r('k / 128.0')} AS freq, {r(f'1 - tanh(10.0 / 33 * {PI} * pow(greatest(1 - k, k - 11, 0), 2))')} AS weight FROM range(33) q(k)",
     "resample_floor": w(f"SELECT l.voxel, CAST(o.j AS INTEGER) AS t, {r('l.v')} AS value FROM l, range(0, 40) o(j) WHERE l.t = floor(1 + o.j * 1.5)"),
     "resample_lanczos": w(LANCZOS_T),
