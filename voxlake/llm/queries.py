@@ -38,4 +38,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p3_found, p3_entities, p6_ids, p7_found, p8_found)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    # Every window of 160 characters, those in two documents, and the length of their union.
+    "p8_found": """
+WITH w AS (SELECT d.doc_id, i, substr(d.text, i, 160) AS s FROM documents d, range(1, greatest(length(d.text) - 158, 1)) r(i)),
+m AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w WHERE s IN (SELECT s FROM m))
+SELECT doc_id, CAST(sum(least(160, i - coalesce(p, i - 160))) AS INTEGER) AS shared_chars FROM c GROUP BY doc_id""",
+}
