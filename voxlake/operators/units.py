@@ -86,9 +86,10 @@ def linked(rp: DataFrame, metric: DataFrame) -> DataFrame:
     The sources are united and grouped, so each is shuffled once, by run and block of frames: a run that
     holds a third of all rows is still spread. All frames of an ordinary run are in one block.
     """
-    a = numbers(rp).select("run_id", "t", F.struct("arrived_at", "v", "u1", "u4").alias("rp"), F.lit(None).cast("struct<arrived_at:timestamp,fd:double>").alias("m"))
+    m = F.struct("arrived_at", "fd").alias("m")
+    a = numbers(rp).select("run_id", "t", F.struct("arrived_at", "v", "u1", "u4").alias("rp"), F.lit(None).cast(metric.select(m).schema["m"].dataType).alias("m"))
     ok = F.col("fd").isNotNull() & ~F.isnan("fd") & F.col("run_id").isNotNull() & F.col("t").isNotNull()
-    b = metric.where(ok).select("run_id", "t", F.lit(None).cast(a.schema["rp"].dataType).alias("rp"), F.struct("arrived_at", "fd").alias("m"))
+    b = metric.where(ok).select("run_id", "t", F.lit(None).cast(a.schema["rp"].dataType).alias("rp"), m)
     both = a.unionByName(b).withColumn("blk", F.expr(f"t div {BLOCK}")).repartition("run_id", "blk")
     g = both.groupBy("run_id", "blk", "t").agg(F.max("rp").alias("rp"), F.max("m").alias("m"))
     return g.where("rp is not null").select("run_id", "blk", "t", "rp.v", "rp.u1", "rp.u4", "m.fd")

@@ -38,8 +38,13 @@ def mask_of(spark: SparkSession, d: str, label: int = 2) -> DataFrame:
     return s.select("x", "y", "z", F.when(F.col("label") == label, 1.0).otherwise(0.0).alias("weight"))
 
 
+def region_samples(spark: SparkSession, d: str, label: int = 2) -> DataFrame:
+    """Samples of a region; the mask meets the series, one row per voxel, before they are exploded."""
+    return layouts.long_from_series(masks.select(image(spark, d), mask_of(spark, d, label)))
+
+
 def seed(spark: SparkSession, d: str, label: int = 2) -> DataFrame:
-    return temporal.mean_course(masks.select(long(spark, d), mask_of(spark, d, label)))
+    return temporal.mean_course(region_samples(spark, d, label))
 
 
 def samples_long(spark, d):
@@ -91,7 +96,7 @@ def tc_mean(spark, d):
 
 
 def tc_stddev(spark, d):
-    return rounded(temporal.stddev_course(masks.select(long(spark, d), mask_of(spark, d))), "value")
+    return rounded(temporal.stddev_course(region_samples(spark, d)), "value")
 
 
 def tc_point(spark, d):
@@ -306,16 +311,16 @@ def modal_value(spark, d):
 
 
 def dvars_range(spark, d):
-    return rounded(motion.dvars_range(masks.select(long(spark, d), mask_of(spark, d))), "dvars")
+    return rounded(motion.dvars_range(region_samples(spark, d)), "dvars")
 
 
 def dvars_modal(spark, d):
-    return rounded(motion.dvars_modal(masks.select(_bright(spark, d), mask_of(spark, d))), "dvars")
+    return rounded(motion.dvars_modal(region_samples(spark, d).withColumn("v", (F.col("v") + 1) * 2000)), "dvars")
 
 
 def _metrics(spark, d):
     """fd and dvars of a deterministic kind: the mean course and its scatter."""
-    s = masks.select(long(spark, d), mask_of(spark, d))
+    s = region_samples(spark, d)
     return s.groupBy("t").agg(F.abs(F.avg("v")).alias("fd"), F.stddev_samp("v").alias("dvars")).withColumn("run", F.lit(0))
 
 
