@@ -18,6 +18,16 @@ def _offsets(values: list[tuple]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(t, names)]) for t in values])
 
 
+def frame_key(cells: DataFrame) -> list[str]:
+    """["t"] for the cells of many frames (t, x, y, z, v), [] for those of one (x, y, z, v)."""
+    return ["t"] if "t" in cells.columns else []
+
+
+def each_frame(grid: DataFrame, cells: DataFrame) -> DataFrame:
+    """The rows of a grid once for every frame of the cells; the numbers of an image's frames are few, the grid is not."""
+    return grid.crossJoin(F.broadcast(cells.select("t").distinct())) if frame_key(cells) else grid
+
+
 # Smoothing
 
 
@@ -74,11 +84,12 @@ def smooth_volumes(cells: DataFrame, dims: tuple[int, int, int], fwhm: float, si
 
 
 def pad(cells: DataFrame, dims: tuple[int, int, int], low: tuple[int, int, int], high: tuple[int, int, int], value: float = 0.0) -> DataFrame:
-    """Cells (x, y, z, v) padded with a value, or cropped where an amount is negative."""
+    """Cells (x, y, z, v, or t too) padded with a value, or cropped where an amount is negative."""
     new = tuple(d + a + b for d, a, b in zip(dims, low, high))
-    grid = grid_cells(cells.sparkSession, new)
-    moved = cells.select(*[(F.col(c) + a).cast("long").alias(c) for c, a in zip(XYZ, low)], "v")
-    return grid.join(moved, XYZ, "left").select(*XYZ, F.coalesce("v", F.lit(value)).alias("v"))
+    key = frame_key(cells)
+    grid = each_frame(grid_cells(cells.sparkSession, new), cells)
+    moved = cells.select(*key, *[(F.col(c) + a).cast("long").alias(c) for c, a in zip(XYZ, low)], "v")
+    return grid.join(moved, [*key, *XYZ], "left").select(*key, *XYZ, F.coalesce("v", F.lit(value)).alias("v"))
 
 
 def pad_mirror(cells: DataFrame, dims: tuple[int, int, int], low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
@@ -91,7 +102,9 @@ def pad_mirror(cells: DataFrame, dims: tuple[int, int, int], low: tuple[int, int
         return F.when(i < 0, -1 - i).when(i >= d, 2 * d - i - 1).otherwise(i)
 
     src = grid.select(*XYZ, *[source(c, d, a).alias(f"s{c}") for c, d, a in zip(XYZ, dims, low)])
-    return src.join(cells.select(*[F.col(c).cast("long").alias(f"s{c}") for c in XYZ], "v"), [f"s{c}" for c in XYZ]).select(*XYZ, "v")
+    key = frame_key(cells)
+    c = cells.select(*key, *[F.col(c).cast("long").alias(f"s{c}") for c in XYZ], "v")
+    return src.join(c, [f"s{c}" for c in XYZ]).select(*key, *XYZ, "v")
 
 
 def padded_origin(affine: np.ndarray, low: tuple[int, int, int]) -> np.ndarray:
@@ -163,26 +176,29 @@ def lanczos(d: Column, a: int = 3) -> Column:
 
 
 def interpolate(targets: DataFrame, cells: DataFrame, weight, reach: tuple[int, int]) -> DataFrame:
-    """Weighted sum of the cells around target positions (id, px, py, pz): id, v, w, n.
+    """Weighted sum of the cells around target positions (id, px, py, pz): id, v, w, n, per frame if the cells have t.
 
     Offsets reach[0]..reach[1] from the floor are exploded per axis, joined to the finite cells and summed with
-    ``weight(dx, dy, dz)``; n counts the cells that took part.
+    ``weight(dx, dy, dz)``, taken before the join as all frames share it; n counts the cells that took part.
     """
     r = range(reach[0], reach[1] + 1)
     off = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in r for j in r for k in r])
     t = targets.withColumn("k", F.explode(off))
     t = t.select("id", *[f"p{c}" for c in XYZ], *[(F.floor(f"p{c}") + F.col(f"k.{c}")).alias(c) for c in XYZ])
-    c = cells.where(~F.isnan("v")).select(*[F.col(a).cast("long").alias(a) for a in XYZ], "v")
-    j = t.join(c, XYZ).withColumn("w", weight(*[F.col(f"p{a}") - F.col(a) for a in XYZ]))
-    return j.groupBy("id").agg(F.sum(F.col("v") * F.col("w")).alias("v"), F.sum("w").alias("w"), F.count("*").alias("n"))
+    t = t.select("id", *XYZ, weight(*[F.col(f"p{a}") - F.col(a) for a in XYZ]).alias("w"))
+    key = frame_key(cells)
+    c = cells.where(~F.isnan("v")).select(*key, *[F.col(a).cast("long").alias(a) for a in XYZ], "v")
+    j = t.join(c.hint("merge"), XYZ)  # neither side has a bound, and the size of exploded targets is estimated far too low
+    return j.groupBy(*key, "id").agg(F.sum(F.col("v") * F.col("w")).alias("v"), F.sum("w").alias("w"), F.count("*").alias("n"))
 
 
 def lanczos3(targets: DataFrame, cells: DataFrame) -> DataFrame:
     """Lanczos-3 where all 216 cells are there, else the distance-weighted value, else null: id, value."""
     full = interpolate(targets, cells, lambda a, b, c: lanczos(a) * lanczos(b) * lanczos(c), (-2, 3))
     near = distance_weighted(targets, cells).withColumnRenamed("value", "near")
-    j = targets.select("id").join(full, "id", "left").join(near, "id", "left")
-    return j.select("id", F.when(F.col("n") == 216, F.col("v")).otherwise(F.col("near")).alias("value"))
+    on = [*frame_key(cells), "id"]
+    j = each_frame(targets.select("id"), cells).join(full, on, "left").join(near, on, "left")
+    return j.select(*on, F.when(F.col("n") == 216, F.col("v")).otherwise(F.col("near")).alias("value"))
 
 
 def distance_weighted(targets: DataFrame, cells: DataFrame, sizes: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -191,14 +207,18 @@ def distance_weighted(targets: DataFrame, cells: DataFrame, sizes: tuple[float,
         return F.sqrt(sum((F.pow((1 - F.abs(d)) / s, 2) for d, s in zip((a, b, c), sizes)), F.lit(0.0)))
 
     g = interpolate(targets, cells, weight, (0, 1))
-    return targets.select("id").join(g.where("w > 0").select("id", (F.col("v") / F.col("w")).alias("value")), "id", "left")
+    on = [*frame_key(cells), "id"]
+    found = g.where("w > 0").select(*on, (F.col("v") / F.col("w")).alias("value"))
+    return each_frame(targets.select("id"), cells).join(found, on, "left")
 
 
 def trilinear(targets: DataFrame, cells: DataFrame) -> DataFrame:
     """Plain trilinear interpolation where all corners with a weight are there: id, value."""
     one = lambda d: F.greatest(1 - F.abs(d), F.lit(0.0))
     g = interpolate(targets, cells, lambda a, b, c: one(a) * one(b) * one(c), (0, 1))
-    return targets.select("id").join(g.where("w > 1 - 1e-9").select("id", F.col("v").alias("value")), "id", "left")
+    on = [*frame_key(cells), "id"]
+    found = g.where("w > 1 - 1e-9").select(*on, F.col("v").alias("value"))
+    return each_frame(targets.select("id"), cells).join(found, on, "left")
 
 
 def rescale_targets(spark, dims: tuple[int, int, int], scale: tuple[float, float, float]) -> tuple[DataFrame, tuple[int, int, int]]:

@@ -13,16 +13,16 @@ PHASE = {"x+": ("x", 1), "x-": ("x", -1), "y+": ("y", 1), "y-": ("y", -1), "z+":
 
 
 def on_grid(values: DataFrame, dims: tuple[int, int, int], default: float | None = None) -> DataFrame:
-    """id, value to x, y, z, v; cells without a value get the default."""
+    """id, value (and t) to x, y, z, v (and t); cells without a value get the default."""
     v = F.col("value") if default is None else F.coalesce("value", F.lit(float(default)))
     return values.select(
-        (F.col("id") % dims[0]).alias("x"), F.expr(f"(id div {dims[0]}) % {dims[1]}").alias("y"),
+        *spatial.frame_key(values), (F.col("id") % dims[0]).alias("x"), F.expr(f"(id div {dims[0]}) % {dims[1]}").alias("y"),
         F.expr(f"id div {dims[0] * dims[1]}").alias("z"), v.alias("v"),
     )
 
 
 def deoblique(cells: DataFrame, m: np.ndarray, dims: tuple[int, int, int], keep_sizes: bool = False) -> tuple[DataFrame, np.ndarray, tuple[int, int, int]]:
-    """A frame on an axis-parallel grid by Lanczos-3: cells, its matrix and size."""
+    """A frame, or each of many keyed by t, on an axis-parallel grid by Lanczos-3: cells, its matrix and size."""
     out, size = affine.straight_grid(m, dims, keep_sizes)
     targets = spatial.affine_targets(cells.sparkSession, size, affine.index_map(out, m))
     return on_grid(spatial.lanczos3(targets, cells), size), out, size
@@ -31,7 +31,7 @@ def deoblique(cells: DataFrame, m: np.ndarray, dims: tuple[int, int, int], keep_
 def transformed(
     cells: DataFrame, source: np.ndarray, target: np.ndarray, dims: tuple[int, int, int], chain: list[tuple[str, object]], default: float | None = None,
 ) -> DataFrame:
-    """A frame moved through a chain to a target grid.
+    """A frame, or each of many keyed by t, moved through a chain to a target grid.
 
     A step is ("affine", 4 x 4 of world space), ("inverse", the same, inverted), ("warp", table x, y, z, dx, dy, dz of
     shifts in source cells on the target grid), or ("mult" / "div", image x, y, z, v on the target grid). All affine
@@ -49,7 +49,10 @@ def transformed(
     out = on_grid(spatial.lanczos3(targets, cells), dims)
     for kind, step in chain:
         if kind in ("mult", "div"):
-            out = spatial.combine(out.withColumn("t", F.lit(0)), step.withColumn("t", F.lit(0)), kind).drop("t")
+            if spatial.frame_key(cells):
+                out = spatial.combine(out, spatial.each_frame(step, cells), kind)
+            else:
+                out = spatial.combine(out.withColumn("t", F.lit(0)), step.withColumn("t", F.lit(0)), kind).drop("t")
     return out if default is None else out.withColumn("v", F.coalesce("v", F.lit(float(default))))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import affine
-from ..operators import header, layouts, motion, transform
+from ..operators import header, layouts, motion, spatial, transform
 from ..session import table
 from . import voxels
 
@@ -83,11 +83,11 @@ def stored_values(spark, d):
 
 
 def deoblique(spark, d):
-    """A tilted frame on a straight grid."""
+    """A tilted image on a straight grid."""
     a = np.deg2rad(10)
     m = np.eye(4)
     m[:3, :3] = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]]) * 3.0
-    cells, _, _ = transform.deoblique(voxels._cells(spark, d), m, (8, 8, 8))
+    cells, _, _ = transform.deoblique(voxels._cells(spark, d), m, voxels._dims(spark, d))
     return voxels.rounded(cells, "v")
 
 
@@ -98,18 +98,18 @@ def transform_chain(spark, d):
     a = np.deg2rad(5)
     turn[:2, :2] = [[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]
     grid = np.diag([3.0, 3, 3, 1])
-    cells = voxels._cells(spark, d)
-    factor = cells.select("x", "y", "z", F.lit(2.0).alias("v"))
-    out = transform.transformed(cells, grid, grid, (8, 8, 8), [("affine", shift), ("affine", turn), ("mult", factor)], default=0.0)
+    cells, dims = voxels._cells(spark, d), voxels._dims(spark, d)
+    factor = spatial.grid_cells(spark, dims).withColumn("v", F.lit(2.0))
+    out = transform.transformed(cells, grid, grid, dims, [("affine", shift), ("affine", turn), ("mult", factor)], default=0.0)
     return voxels.rounded(out, "v")
 
 
 def fugue_warp(spark, d):
     """Shifts along the phase-encoding direction as a field, applied."""
-    cells = voxels._cells(spark, d)
-    field = transform.shift_field(cells.select("x", "y", "z", F.lit(1.0).alias("v")), "y-")
+    cells, dims = voxels._cells(spark, d), voxels._dims(spark, d)
+    field = transform.shift_field(spatial.grid_cells(spark, dims).withColumn("v", F.lit(1.0)), "y-")
     grid = np.diag([3.0, 3, 3, 1])
-    out = transform.transformed(cells, grid, grid, (8, 8, 8), [("warp", field)])
+    out = transform.transformed(cells, grid, grid, dims, [("warp", field)])
     return voxels.rounded(out, "v")
 
 

@@ -342,42 +342,45 @@ def scrub(spark, d):
 # Space
 
 
-def _cells(spark, d, t=0):
-    """The first 512 cells of one frame, a full 8 x 8 x 8 grid but for cells without a vector."""
-    return long(spark, d).where((F.col("t") == t) & (F.col("z") < 8)).select("x", "y", "z", "v")
+def _dims(spark, d):
+    """Size of the image: 8 x 8 cells and the slices of the table, the last of which may be filled in part."""
+    last = image(spark, d).agg(F.max("z")).first()[0]
+    return 8, 8, (last or 0) + 1
+
+
+def _cells(spark, d):
+    """All cells of all frames."""
+    return long(spark, d).select("t", "x", "y", "z", "v")
 
 
 def pad_const(spark, d):
-    return rounded(spatial.pad(_cells(spark, d), (8, 8, 8), (1, 0, 2), (0, 1, 0), -1.0), "v")
+    return rounded(spatial.pad(_cells(spark, d), _dims(spark, d), (1, 0, 2), (0, 1, 0), -1.0), "v")
 
 
 def crop(spark, d):
-    return rounded(spatial.pad(_cells(spark, d), (8, 8, 8), (-2, -1, 0), (-1, -3, -4), 0.0), "v")
+    return rounded(spatial.pad(_cells(spark, d), _dims(spark, d), (-2, -1, 0), (-1, -3, -4), 0.0), "v")
 
 
 def pad_mirror(spark, d):
-    return rounded(spatial.pad_mirror(_cells(spark, d), (8, 8, 8), (2, 1, 0), (1, 3, 2)), "v")
+    return rounded(spatial.pad_mirror(_cells(spark, d), _dims(spark, d), (2, 1, 0), (1, 3, 2)), "v")
 
 
 def orient_flip(spark, d):
-    return rounded(spatial.reorient(_cells(spark, d), (8, 8, 8), "RAS", "LSP"), "v")
+    return rounded(spatial.reorient(_cells(spark, d), _dims(spark, d), "RAS", "LSP"), "v")
 
 
 def grid_resample_mask(spark, d):
-    m = mask_of(spark, d).where("z < 8")
-    return masks.resample(m, (8, 8, 8), (5, 5, 11))
+    """The mask on a grid of 5 x 5 cells and eleven slices for every eight."""
+    x, y, z = _dims(spark, d)
+    return masks.resample(mask_of(spark, d), (x, y, z), (5, 5, -(-11 * z // 8)))
 
 
 def smooth_x(spark, d):
-    return rounded(spatial.smooth_axis(_frames(spark, d), "x", 6.0, 3.0), "v")
-
-
-def _frames(spark, d):
-    return long(spark, d).where("t < 4 and z < 8").select("t", "x", "y", "z", "v")
+    return rounded(spatial.smooth_axis(_cells(spark, d), "x", 6.0, 3.0), "v")
 
 
 def smooth_gauss(spark, d):
-    return rounded(spatial.smooth(_frames(spark, d), 6.0, (3.0, 3.0, 3.0)), "v")
+    return rounded(spatial.smooth(_cells(spark, d), 6.0, (3.0, 3.0, 3.0)), "v")
 
 
 def border_distance(spark, d):
@@ -386,17 +389,17 @@ def border_distance(spark, d):
 
 
 def rescale_dist8(spark, d):
-    g, _ = spatial.rescale_targets(spark, (8, 8, 8), (1.5, 1.0, 0.75))
+    g, _ = spatial.rescale_targets(spark, _dims(spark, d), (1.5, 1.0, 0.75))
     return rounded(spatial.distance_weighted(g, _cells(spark, d)), "value")
 
 
 def interp_lanczos3(spark, d):
-    g, _ = spatial.rescale_targets(spark, (8, 8, 8), (1.25, 1.25, 1.25))
+    g, _ = spatial.rescale_targets(spark, _dims(spark, d), (1.25, 1.25, 1.25))
     return rounded(spatial.lanczos3(g, _cells(spark, d)), "value")
 
 
 def interp_trilinear(spark, d):
-    g, _ = spatial.rescale_targets(spark, (8, 8, 8), (1.25, 1.25, 1.25))
+    g, _ = spatial.rescale_targets(spark, _dims(spark, d), (1.25, 1.25, 1.25))
     return rounded(spatial.trilinear(g, _cells(spark, d)), "value")
 
 
