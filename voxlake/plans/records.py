@@ -6,22 +6,39 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import affine
-from ..operators import header, layouts, motion, spatial, transform
+from ..operators import header, layouts, motion, spatial, transform, units
 from ..session import table
 from . import voxels
 
 
-def _spm_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of runs in numbers, in the file's order, the first copy of a repeated frame."""
-    rp = table(spark, d, "realignment").where("c1 is not null")
-    v = F.struct("arrived_at", *[f"c{i}" for i in range(1, 7)])
-    g = rp.groupBy("run_id", "t").agg(F.min(v).alias("v"))
-    return g.select("run_id", "t", *[F.col(f"v.c{i}").alias(f"c{i}") for i in range(1, 7)])
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """run_id, t, x, y, z (mm), pitch, roll, yaw (degrees): frames of all runs, numbers or text, the first copy of a repeated frame.
+
+    The column order is the one the run's rpformat names, spm where it names none. Units written beside the values
+    count, else translations are mm and rotations degrees (radians in the order of fsl).
+    """
+    v = units.numbers(table(spark, d, "realignment")).groupBy("run_id", "t").agg(F.min(F.struct("arrived_at", "v", "u1", "u4")).alias("r"))
+    said = table(spark, d, "scrub_run").groupBy("run_id").agg(F.max("rpformat").alias("rpformat"))
+    j = v.join(said, "run_id", "left").select("run_id", "t", "r.v", "r.u1", "r.u4", units.is_fsl(F.col("rpformat")).alias("fsl"))
+    pick = lambda a, b: F.when(F.col("fsl"), b).otherwise(a)
+
+    def scale(unit, words, sizes, usual):
+        named = units.text_unit(unit, words)
+        return F.coalesce(*[F.when(named == u, F.lit(s)) for u, s in sizes.items()], usual)
+
+    u1, u4 = F.col("u1"), F.col("u4")
+    st = scale(pick(u1, u4), units.TRANSLATION_WORDS, units.TRANSLATION, F.lit(1.0))
+    sr = scale(pick(u4, u1), units.ROTATION_WORDS, units.ROTATION, pick(F.lit(1.0), F.lit(units.ROTATION["rad"])))
+    at = lambda i: pick(F.col("v")[i], F.col("v")[(i + 3) % 6])
+    return j.select(
+        "run_id", "t", *[(at(i) * st).alias(n) for i, n in enumerate("xyz")],
+        *[(at(i + 3) * sr).alias(n) for i, n in enumerate(("pitch", "roll", "yaw"))],
+    )
 
 
 def run_fd(spark, d):
-    """Framewise displacement of every run as if all were in mm and degrees."""
-    f = motion.framewise_displacement(motion.reordered(_spm_runs(spark, d)), ["run_id"])
+    """Framewise displacement of every run by its own column order."""
+    f = motion.framewise_displacement(_runs(spark, d), ["run_id"])
     return f.select("run_id", "t", F.when(F.abs("fd") < 1e6, F.round("fd", 4) + 0.0).alias("fd"))
 
 
