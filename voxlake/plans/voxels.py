@@ -16,6 +16,8 @@ from .voxels_sql import ORACLE as SQL
 
 T, TR, F1, F2 = 64, 2.0, 0.009, 0.08
 DIGITS = 6
+#: Slices of the volume in which masks grow, as in its SQL; more where the table has more.
+SLICES = 32
 AFFINE = [[3.0, 0, 0, -12], [0, 3.0, 0, -12], [0, 0, 3.0, -12], [0, 0, 0, 1]]
 
 
@@ -67,7 +69,8 @@ def mask_binarize(spark, d):
 
 def mask_dilate(spark, d):
     m = mask_of(spark, d).where("weight > 0.5")
-    return masks.dilate(m).where(masks.in_volume((8, 8, 32)))
+    x, y, z = _dims(spark, d)
+    return masks.dilate(m).where(masks.in_volume((x, y, max(z, SLICES))))
 
 
 def _cells0(spark, d):
