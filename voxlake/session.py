@@ -65,9 +65,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(table: DataFrame) -> int:
+    """Bytes of the files a written table stands in: what its readers' size estimate starts from."""
+    jvm = table.sparkSession.sparkContext._jvm
+    conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    total = 0
+    for f in table.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
+#: What a row takes in memory over its bytes in a compressed file, at most, as far as the check is concerned.
+UNPACKED = 8
+
+
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int) -> DataFrame:
-    """A join whose right side, a written table, is broadcast only if it has at most ``limit`` rows."""
-    few = right.limit(limit + 1).count() <= limit
+    """A join whose right side, a written table, is broadcast only if it takes at most ``limit`` bytes unpacked."""
+    few = UNPACKED * bytes_of(right) <= limit
     return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
 
 
