@@ -10,10 +10,10 @@ FILES = "file_id long, n_columns int, extra string"
 
 
 def run(rows, lines, files):
-    c = P.parse_cells(rows([(i, f, i, r, "x") for i, (f, r) in enumerate(lines)], LINES), rows([(*f, "y") for f in files], FILES))
-    bad = {r.line_id: r.reason for r in P.failed_lines(c).collect()}
+    both = rows([(i, f, i, r, "x") for i, (f, r) in enumerate(lines)], LINES), rows([(*f, "y") for f in files], FILES)
+    bad = {r.line_id: r.reason for r in P.failed_lines(P.parse_cells(*both)).collect()}
     good = {}
-    for r in P.loaded_cells(c).orderBy("line_id", "col").collect():
+    for r in P.loaded_cells(*both).orderBy("line_id", "col").collect():
         good.setdefault(r.line_id, []).append(r.value)
     return bad, good
 
@@ -57,13 +57,23 @@ def test_unknown_file_repeats_and_empty(rows, spark):
     bad, good = run(rows, [(9, "1")], [(1, 1)])
     assert bad == {0: "column_count"} and good == {}
     lines = rows([(5, 1, 1, "1 2", "a"), (5, 1, 1, "1 2", "b"), (6, 1, 2, "z", "a"), (6, 1, 2, "z", "a")], LINES)
-    c = P.parse_cells(lines, rows([(1, 2, "a"), (1, 2, "b")], FILES))
-    assert P.loaded_cells(c).count() == 2
+    files = rows([(1, 2, "a"), (1, 2, "b")], FILES)
+    c = P.parse_cells(lines, files)
+    assert P.loaded_cells(lines, files).count() == 2
     assert [tuple(r) for r in P.failed_lines(c).collect()] == [(6, "column_count")]
-    e = P.parse_cells(lines.where(F.lit(False)), rows([], FILES))
-    assert P.failed_lines(e).count() == 0 and P.loaded_cells(e).count() == 0
+    none = lines.where(F.lit(False)), rows([], FILES)
+    assert P.failed_lines(P.parse_cells(*none)).count() == 0 and P.loaded_cells(*none).count() == 0
 
 
 def test_long_line(rows):
     bad, good = run(rows, [(1, " ".join(["1.5"] * 20000)), (1, "a" * 100000)], [(1, 20000)])
     assert bad == {1: "column_count"} and len(good[0]) == 20000
+
+
+def test_rules_are_data(rows):
+    """Another rule table, other failures."""
+    lines = rows([(0, 1, 0, "1 2", "x"), (1, 1, 1, "-1 2", "x"), (2, 1, 2, "7", "x")], LINES)
+    cells = P.parse_cells(lines, rows([(1, 2, "y")], FILES))
+    rules = [("cell", r"\A[0-9]+\z", True, "not_natural", 1)]
+    assert [tuple(r) for r in P.failed_lines(cells, rules).collect()] == [(1, "not_natural")]
+    assert P.failed_lines(cells, []).count() == 0

@@ -106,8 +106,8 @@ def test_cutoff_from_counts():
 def test_the_fit_decides():
     """Two runs whose flags no common number of robust deviations gives: one with a light tail, one with a heavy one."""
     g = np.random.default_rng(5)
-    light, heavy = g.uniform(-1, 1, 300), g.laplace(0, 1, 300)
-    light[150] = 4.0
+    light, heavy = g.uniform(-1, 1, 300), g.standard_t(3, 300)
+    light[150] = 5.0
     dev = [1.4826 * np.median(np.abs(x)) for x in (light, heavy)]
     x = np.stack([light, heavy]) + 50
     hit = S.flags(x, "fd")

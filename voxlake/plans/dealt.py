@@ -14,8 +14,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
-    cells = parsefail.parse_cells(table(spark, d, "regressor_line"), table(spark, d, "regressor_file"))
-    return parsefail.loaded_cells(cells)
+    return parsefail.loaded_cells(table(spark, d, "regressor_line"), table(spark, d, "regressor_file"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
