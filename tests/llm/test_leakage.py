@@ -61,9 +61,39 @@ def test_ties_repeats_and_empty(rows):
     assert find(rows, [(1, t)], [(1, "too short"), (2, None), (3, ITEM), (4, ITEM)]) == {(1, 3), (1, 4)}
 
 
-def test_blocks_of_items(rows, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_WORDS", 20)
-    assert find(rows, [(1, cues(ITEM + " " + OTHER))]) == {(1, 1), (1, 2)}
+def test_many_items_in_one_pass(rows):
+    items = [(i, " ".join(f"{w}{i}" if w.isalpha() and len(w) > 4 else w for w in ITEM.split())) for i in range(60)]
+    got = find(rows, [(i, cues(items[i][1])) for i in range(0, 60, 7)], items)
+    assert {(i, i) for i in range(0, 60, 7)} <= got and all(d == i for d, i in got)
+
+
+LONG_TAG = '<font color="#ffffff" face="Some Very Long Face Name, Another Name" size="24">'
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Well.\n(" + part(0, 10) + ")\nGood.",
+        "Well.\n[" + part(0, 10) + "] Good.",
+        part(0, 5) + " " + LONG_TAG + part(5, 10) + "</font>",
+        part(0, 5) + " [a very long description of a sound that goes on and on, with thunder, bells, dogs and a far away train] " + part(5, 10),
+        "Captions by someone: " + part(0, 10),
+        part(0, 4) + "\nSubtitles by nightowl - subs.example\n" + part(4, 10),
+        "♪ " + part(0, 10) + " ♪",
+        part(0, 3) + " (" + part(3, 7) + " [bang] " + part(7, 8) + ") " + part(8, 10),
+        "ROOK: " + part(0, 4) + "\n- " + part(4, 7) + "\nMRS ALICE MONTGOMERY-HARTWELL OF THE OLD TANNERY: " + part(7, 10),
+        "( music" + "\n\n" + part(0, 10) + "\nand no bracket closes",
+    ],
+)
+def test_passage_inside_and_around_stretches(rows, text):
+    assert find(rows, [(1, text), (2, text.replace("grateful", "other words instead of"))]) == {(1, 1)}
+
+
+def test_bit_table_is_a_filter():
+    hs = [x * 7919 - 5 for x in range(1000)]
+    t = L.bit_table(iter(hs), len(hs))
+    assert L._look_up(t, L.np.array(hs, L.np.int64).view(L.np.uint64)).all()
+    assert L._look_up(t, L.np.arange(10**6, 10**6 + 5000).astype(L.np.uint64)).mean() < 0.1
 
 
 def test_long_text(rows):

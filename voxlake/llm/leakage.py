@@ -1,20 +1,25 @@
 """Passages of held-out items inside a corpus of damaged subtitle files.
 
 A prefix-filtered set join. Both sides become words that survive the usual damage: wrongly decoded bytes are
-decoded again, cue numbers, time lines, tags, sound descriptions, adverts and speaker labels are dropped,
-case, accents and punctuation folded, and letters that character recognition confuses mapped to one sign. A
-leak is an item-sized window, ``WINDOW`` consecutive words of an item, of which most words are intact.
-Ordered by rarity in the corpus (document frequencies over all documents), a window of which at least
-``INTACT`` words are intact must share ``SHARED`` of its ``WINDOW - INTACT + SHARED`` rarest words with the
-document: only these join. The length and positional bounds ask for them within a window and at one offset of
-document and item (give or take merged or split words); then the words are verified one by one, damaged ones
-by edit distance, for a run of at least ``WINDOW`` words.
-
-The items are the small side. They are read in blocks of a bounded number of words, and each block passes
-over the documents once, so a benchmark of any size works. The documents are not shuffled.
+decoded again, cue numbers, time lines and markup are dropped, case, accents and punctuation folded, and letters
+that character recognition confuses mapped to one sign. Bracketed text, lyrics, advert lines, speaker labels and
+dashes are kept as stretches that may be read or skipped, so a passage is found inside them and around them.
+
+A leak is an item-sized window, ``WINDOW`` consecutive words of an item. Its shingles are its pairs of neighbouring
+words; of a window with at most ``DAMAGED`` spoiled words ``SHARED`` shingles are whole, so the document has ``MET``
+of the window's ``PREFIX`` rarest, rarity being the number of places in the corpus, counted over all documents.
+
+1. One pass over the documents, whatever the number of items: shingles are looked up in a bit table of the items'
+   shingles (of a bounded size, a filter only) and counted; where ``SHARED`` of them stand within a window (the
+   positional bound), the words around go on as a segment. Texts are neither shuffled nor read again.
+2. The shingles of an item's windows are ranked by rarity; segments and items meet by an equi-join on the prefix,
+   ``MET`` of it in one window of the item.
+3. Each pair is verified word by word from every common shingle, damaged words by edit distance, over all ways of
+   skipping stretches, for a run of at least ``WINDOW`` words of the item.
 
 Defined cases: null and empty texts hold nothing; items under ``WINDOW`` words cannot leak; repeated
-documents give one row per (doc_id, item_id); texts are read whole; extra columns are ignored.
+documents give one row per (doc_id, item_id); texts are read whole; extra columns are ignored. A word spoiled in
+more than two letters ends a run. The words of the items (a vocabulary) are sent to every worker.
 """
 
 from __future__ import annotations
@@ -24,26 +29,35 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import worker_cache
+from ..session import joined, worker_cache, written
 
 WINDOW = 10
-INTACT = 8
-SHARED = 4
-#: Offsets that merged or split words may shift.
+DAMAGED = 2
+#: Shingles of a window that DAMAGED words leave whole; of its PREFIX rarest at least MET are among them.
+SHARED = WINDOW - 1 - 2 * DAMAGED
+MET = 3
+PREFIX = WINDOW - 1 - SHARED + MET
+#: Words by which merged or split words may stretch a window.
 SLACK = 2
-#: Words of items handled in one pass over the documents.
-BLOCK_WORDS = 200_000
-
-TIMES = r"^[^\S\n]*\d{1,2}:\d\d:\d\d[.,:]\d+[^\S\n]*-->.*$"
-NUMBER_LINES = r"^[^\S\n]*\d+[^\S\n]*(?=\n[^\S\n]*\d{1,2}:\d\d:\d\d)"
-TAGS = r"<[^<>\n]{0,40}>|\{\\[^{}\n]*\}"
-SOUNDS = r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|♪[^♪\n]*♪|[♪♫]"
-ADVERTS = r"^.*(?:\.example\b|Untertitel|Subtitles? by|Traduit par|Sous-titres|Subtítulos|Captions by).*$"
-LABELS = r"^[^\S\n]*(?:-[^\S\n]*)?[^\W\d_a-z][^\W\d_a-z .'’-]{1,24}:[^\S\n]"
-DASHES = r"^[^\S\n]*[-–][^\S\n]+"
+#: Bits of the table of shingles: per shingle, and at most.
+BITS, MOST_BITS = 32, 1 << 31
+#: Candidates that one task verifies; they are small in bytes, so their number decides.
+TASK_PAIRS = 5_000
+#: Bytes up to which written tables of items and candidates are broadcast.
+FEW_BYTES = 32 << 20
+
+TIMES = re.compile(r"^(?:[^\S\n]*\d+[^\S\n]*\n)?[^\S\n]*\d{1,2}:\d\d:\d\d[.,:]\d+[^\S\n]*-->.*$", re.M)
+#: Markup: elements of subtitle formats, of any length, and override codes.
+TAGS = re.compile(r"</?(?:i|b|u|s|em|strong|font|span|br|p|c|v|ruby|rt|lang)\b[^<>\n]*>|\{\\[^{}\n]*\}", re.I)
+#: Stretches that may be skipped.
+SOUNDS = {c: re.compile(p) for c, p in {"[": r"\[[^\[\]]*\]", "(": r"\([^()]*\)", "{": r"\{[^{}]*\}", "<": r"<[^<>]*>", "♪": r"♪[^♪\n]*♪"}.items()}
+ADVERT_WORDS = re.compile(r"\.example\b|Untertitel|Subtitles? by|Traduit par|Sous-titres|Subtítulos|Captions by")
+LABELS = re.compile(r"^[^\S\n]*(?:-[^\S\n]*)?[^\W\d_a-z](?:[^\W\d_a-z]|[ .'’-])*:(?=\s)|^[^\S\n]*[-–](?=[^\S\n])", re.M)
 
 #: Signs that recognition confuses, each mapped to one of its group (fixed values).
 CONFUSED = {"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "8": "b", "e": "c", "é": "c"}
@@ -66,14 +80,22 @@ def repair(text: str) -> str:
     return re.sub(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0192\u02c6-\u02dc\u2013-\u203a\u20ac\u2122]{1,3}", one, text)
 
 
-def clean(text: str) -> str:
-    """The spoken words of a subtitle file."""
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Spans of a text that may be skipped: brackets, lyrics, adverts, labels and dashes at the start of a line."""
+    out = [m.span() for c, p in SOUNDS.items() if c in text for m in p.finditer(text)]
+    for m in ADVERT_WORDS.finditer(text):
+        a = text.rfind("\n", 0, m.start()) + 1
+        b = text.find("\n", m.end())
+        out.append((a, b if b >= 0 else len(text)))
+    out += [m.span() for m in LABELS.finditer(text)]
+    return out
+
+
+def spoken(text: str) -> str:
+    """A subtitle file without numbers, times and markup."""
     text = repair(text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff"))
-    for p in (NUMBER_LINES, TIMES, ADVERTS):
-        text = re.sub(p, "", text, flags=re.M)
-    text = re.sub(TAGS, "", text)
-    text = re.sub(SOUNDS, " ", text)
-    return re.sub(DASHES, "", re.sub(LABELS, "", text, flags=re.M), flags=re.M)
+    text = TIMES.sub("", text)
+    return TAGS.sub("", text) if "<" in text or "{" in text else text
 
 
 def plain(word: str) -> str:
@@ -94,7 +116,8 @@ def sign(word: str) -> str:
     return p or ("—" if word and not word.strip("—–-") else "")
 
 
-def words(text: str) -> list[str]:
+def _signs(text: str) -> list[tuple[str, int]]:
+    """Signs of the words of a text with their hashes."""
     kept = worker_cache("leak-signs", dict)
     if len(kept) > 500_000:
         kept.clear()
@@ -102,12 +125,38 @@ def words(text: str) -> list[str]:
     for w in text.split():
         s = kept.get(w)
         if s is None:
-            s = kept[w] = sign(w)
-        if s:
+            x = sign(w)
+            s = kept[w] = (x, xxhash.xxh3_64_intdigest(x))
+        if s[0]:
             out.append(s)
     return out
 
 
+def words(text: str) -> list[str]:
+    return [s for s, _ in _signs(text)]
+
+
+def reading(text: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
+    """Words of a subtitle file with their hashes, and the stretches [a, b) of them that may be skipped."""
+    text = spoken(text)
+    spans = stretches(text)
+    if not spans:
+        return _signs(text), []
+    cuts = sorted({0, len(text), *(x for s in spans for x in s)})
+    out: list[tuple[str, int]] = []
+    at = {0: 0}
+    for a, b in zip(cuts, cuts[1:]):
+        out += _signs(text[a:b])
+        at[b] = len(out)
+    return out, sorted({(at[a], at[b]) for a, b in spans if at[a] < at[b]})
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def near(a: str, b: str) -> bool:
     """Whether a damaged word may be the other: two edits in long words, one in short ones that begin alike."""
     if a == b:
@@ -127,148 +176,340 @@ def near(a: str, b: str) -> bool:
     return row[m] <= most
 
 
-class Items:
-    """The items of one block, indexed by the rarest words of their windows."""
-
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int]):
-        self.text = {i: words(t) for i, t in items}
-        self.known = {w for t in self.text.values() for w in t}
-        self.numbers = {sign(w) for _, t in items for w in t.split() if plain(w).isdigit()}
-        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        prefix: set[tuple[int, int]] = set()
-        for i, t in self.text.items():
-            order = [(frequency.get(w, 0), w, q) for q, w in enumerate(t)]
-            for q in range(len(t) - WINDOW + 1):
-                prefix.update((i, x[2]) for x in sorted(order[q : q + WINDOW])[: WINDOW - INTACT + SHARED])
-        for i, q in prefix:
-            self.places[self.text[i][q]].append((i, q))
-
-    def found(self, doc: list[str]) -> set[int]:
-        """Items of which the document's words hold a window."""
-        places = self.places
-        hits = [p for p, w in enumerate(doc) if w in places]
-        if len(hits) < SHARED:
-            return set()
-        # Only places with enough prefix words close by.
-        close: set[int] = set()
-        for k in range(len(hits) - SHARED + 1):
-            if hits[k + SHARED - 1] - hits[k] < WINDOW + SLACK:
-                close.update(hits[k : k + SHARED])
-        offsets: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for p in sorted(close):
-            for i, q in places[doc[p]]:
-                offsets[i, p - q].append(p)
-        out: set[int] = set()
-        for (i, off), at in offsets.items():
-            if i in out or len(at) * 2 < SHARED:
-                continue
-            around = at
-            for d in range(1, SLACK + 1):
-                for o in (off - d, off + d):
-                    if (i, o) in offsets:
-                        around = around + offsets[i, o]
-            if len(around) < SHARED:
-                continue
-            around = sorted(around)
-            if not any(b - a < WINDOW + SLACK for a, b in zip(around, around[SHARED - 1 :])):
-                continue
-            done = -1
-            for p in at:
-                if p > done:
-                    a, b, done = self.extend(doc, self.text[i], p, p - off)
-                    if b - a >= WINDOW:
-                        out.add(i)
-                        break
-        return out
+def bridges(skips: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Pairs of words that become neighbours when stretches between them are skipped."""
+    jump = defaultdict(list)
+    for a, b in skips:
+        jump[a].append(b)
+    out = []
+    for a in jump:
+        if a == 0:
+            continue
+        seen, todo = set(), list(jump[a])
+        while todo:
+            b = todo.pop()
+            if b < n and b not in seen:
+                seen.add(b)
+                out.append((a - 1, b))
+                todo += jump.get(b, ())
+    return out
 
-    def same(self, a: str, b: str) -> bool:
-        return a == b or (a not in self.known and b not in self.numbers and near(a, b))
-
-    def extend(self, doc: list[str], item: list[str], p: int, q: int) -> tuple[int, int, int]:
-        """First and past-last word of the item verified around doc[p] = item[q], and the last place in the document."""
-        steps = []
-        for way in (-1, 1):
-            i, j = p, q
-            while True:
-                i2, j2 = i + way, j + way
-                if not (0 <= i2 < len(doc) and 0 <= j2 < len(item)):
-                    break
-                if self.same(doc[i2], item[j2]):
-                    i, j = i2, j2
-                    continue
-                i3, j3 = i2 + way, j2 + way
-                if 0 <= i3 < len(doc) and self.same("".join(sorted_pair(doc, i2, i3)), item[j2]):
-                    i, j = i3, j2
-                elif 0 <= j3 < len(item) and self.same(doc[i2], "".join(sorted_pair(item, j2, j3))):
-                    i, j = i2, j3
-                elif item[j2] == "—" and 0 <= j3 < len(item) and self.same(doc[i2], item[j3]):
-                    i, j = i2, j3
-                else:
-                    break
-            steps.append((i, j))
-        return steps[0][1], steps[1][1] + 1, steps[1][0]
 
+class Judge:
+    """Verification of segments against items; ``known`` are all words of the items, ``numbers`` those that are numbers."""
+
+    def __init__(self, known: set[str], numbers: set[str]):
+        self.known, self.numbers = known, numbers
+        self.near: dict[tuple[str, str], bool] = {}
+        self.items: dict[str, tuple] = {}
+
+    def same(self, a: str, b: str) -> bool:
+        if a == b:
+            return True
+        if a in self.known or b in self.numbers:
+            return False
+        if len(self.near) > 200_000:
+            self.near.clear()
+        r = self.near.get((a, b))
+        if r is None:
+            r = self.near[a, b] = near(a, b)
+        return r
+
+    def pairs_of(self, item: str) -> tuple[list[str], dict[tuple[str, str], list[int]]]:
+        """The words of an item and the places of its pairs."""
+        got = self.items.get(item)
+        if got is None:
+            if len(self.items) > 5_000:
+                self.items.clear()
+            words, places = item.split(" "), defaultdict(list)
+            for q in range(len(words) - 1):
+                places[words[q], words[q + 1]].append(q)
+            got = self.items[item] = words, dict(places)
+        return got
+
+    def holds(self, doc: list[str], skips: list[tuple[int, int]], item: str) -> bool:
+        """Whether the words hold WINDOW consecutive words of the item."""
+        words, places = self.pairs_of(item)
+        if len(words) < WINDOW:
+            return False
+        none = ()
+        hits = [(p, p + 1, q) for p, pair in enumerate(zip(doc, doc[1:])) for q in places.get(pair, none)]
+        if skips:
+            hits += [(p, r, q) for p, r in bridges(skips, len(doc)) for q in places.get((doc[p], doc[r]), none)]
+            hits.sort()
+        if len(hits) < SHARED or not self._bound(hits, skips, len(doc)):
+            return False
+        ahead, back = defaultdict(list), defaultdict(list)
+        for a, b in skips:
+            ahead[a].append(b)
+            back[b].append(a)
+        done: set[tuple[int, int]] = set()
+        for p, r, q in hits:
+            if (p, q) in done:
+                continue
+            first = self._reach(doc, back, words, p, q, -1, done)
+            last = self._reach(doc, ahead, words, r, q + 1, 1, done)
+            if last - first + 1 >= WINDOW:
+                return True
+        return False
 
-def sorted_pair(seq: list[str], a: int, b: int) -> tuple[str, str]:
-    return (seq[a], seq[b]) if a < b else (seq[b], seq[a])
+    @staticmethod
+    def _bound(hits: list[tuple[int, int, int]], skips: list[tuple[int, int]], n: int) -> bool:
+        """Whether SHARED shingles of some window of the item are there near one offset, stretches all read or all skipped;
+        where some are read and some skipped within a passage, the offset moves, and one damaged word is allowed."""
 
+        def close(q: list[int], least: int) -> bool:
+            if len(q) < least:
+                return False
+            q = sorted(set(q))
+            return any(b - a < WINDOW - 1 for a, b in zip(q, q[least - 1 :]))
 
-def _frequencies(documents: DataFrame, vocabulary: set[str]) -> dict[str, int]:
-    """In how many documents each word of the items stands; at most as many rows as the block has words."""
+        every = [h[2] for h in hits]
+        if not close(every, SHARED):
+            return False
+        if skips and close(every, SHARED + 2):
+            return True
+        near: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for p, _, x in hits:
+            # Offsets within 4 share one of two buckets.
+            near[0, (p - x) >> 3].append(x)
+            near[1, (p - x + 4) >> 3].append(x)
+        if skips:
+            inside = [0] * (n + 1)
+            for a, b in skips:
+                inside[a] += 1
+                inside[b] -= 1
+            place, covered, at = [], 0, 0
+            for k in range(n):
+                covered += inside[k]
+                at += covered == 0
+                place.append(at)
+            for p, _, x in hits:
+                near[2, (place[p] - x) >> 3].append(x)
+                near[3, (place[p] - x + 4) >> 3].append(x)
+        return any(close(q, SHARED) for q in near.values())
+
+    def _reach(self, doc: list[str], jump: dict[int, list[int]], item: list[str], p: int, q: int, way: int, done: set) -> int:
+        """Last word of the item matched going one way from doc[p] = item[q]."""
+        n, m = len(doc), len(item)
+        # Equal words where nothing can be skipped need no search.
+        while True:
+            i, j = p + way, q + way
+            if not (0 <= i < n and 0 <= j < m) or doc[i] != item[j] or (i if way > 0 else p) in jump:
+                break
+            if way > 0:
+                done.add((p, q))
+            p, q = i, j
+        best = q
+        seen = {(p, q)}
+        todo = [(p, q)]
+        while todo:
+            i, j = todo.pop()
+            if (j - best) * way > 0:
+                best = j
+            if way > 0:
+                done.add((i, j))
+            for i2 in self._next(jump, i, way, len(doc)):
+                for to in self._steps(doc, jump, item, i2, j + way, way):
+                    if to not in seen:
+                        seen.add(to)
+                        todo.append(to)
+        return best
+
+    @staticmethod
+    def _next(jump: dict[int, list[int]], i: int, way: int, n: int) -> list[int]:
+        """Places of the word that follows (precedes) word i, by skipping or not; stretches are [a, b)."""
+        edge = i + 1 if way > 0 else i
+        if edge not in jump:
+            return [i + way] if 0 <= i + way < n else []
+        edges, todo = {edge}, [edge]
+        while todo:
+            for x in jump.get(todo.pop(), ()):
+                if x not in edges:
+                    edges.add(x)
+                    todo.append(x)
+        at = edges if way > 0 else {x - 1 for x in edges}
+        return [x for x in at if 0 <= x < n]
+
+    def _steps(self, doc: list[str], jump: dict, item: list[str], i: int, j: int, way: int) -> Iterator[tuple[int, int]]:
+        if not 0 <= j < len(item):
+            return
+        if self.same(doc[i], item[j]):
+            yield i, j
+            return
+        for i2 in self._next(jump, i, way, len(doc)):
+            if self.same(doc[i] + doc[i2] if way > 0 else doc[i2] + doc[i], item[j]):
+                yield i2, j
+        j2 = j + way
+        if 0 <= j2 < len(item):
+            if self.same(doc[i], item[j] + item[j2] if way > 0 else item[j2] + item[j]) or (item[j] == "—" and self.same(doc[i], item[j2])):
+                yield i, j2
+
+
+def _item_words(items: DataFrame) -> DataFrame:
+    """item_id, words, hs (hashes of the pairs), numbers; one row per item text of at least WINDOW words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = t.as_py()
+                s = _signs(t)
+                if len(s) < WINDOW:
+                    continue
+                h = np.array([x for _, x in s], np.uint64)
+                out.append((i, " ".join(x for x, _ in s), pair_hash(h[:-1], h[1:]).view(np.int64), list({sign(w) for w in t.split() if plain(w).isdigit()})))
+            cols = list(zip(*out)) or [()] * 4
+            types = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["item_id", "words", "hs", "numbers"])
+
+    have = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return have.mapInArrow(work, "item_id long, words string, hs array<long>, numbers array<string>")
+
+
+def bit_table(hashes: Iterator[int], count: int) -> np.ndarray:
+    """A table of bits set at the hashes, of a bounded size."""
+    size = 1 << 16
+    while size < min(BITS * count, MOST_BITS):
+        size *= 2
+    table = np.zeros(size // 8, np.uint8)
+    for h in hashes:
+        k = h & (size - 1)
+        table[k >> 3] |= 1 << (k & 7)
+    return table
+
+
+def _look_up(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    k = h & np.uint64(len(table) * 8 - 1)
+    return (table[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def segments_of(read: list[tuple[list[tuple[str, int]], list[tuple[int, int]]]], table: np.ndarray, count: Counter) -> Iterator[tuple[int, str, list[int], list[int]]]:
+    """(number of the text, words, skips, shingles) of stretches with SHARED shingles within a window; all shingles met are counted."""
+    n = np.array([len(w) for w, _ in read])
+    start = np.zeros(len(read) + 1, np.int64)
+    np.cumsum(n, out=start[1:])
+    h = np.fromiter((x for w, _ in read for _, x in w), np.uint64, start[-1])
+    a = np.arange(max(len(h) - 1, 0))
+    ends = start[1:-1]
+    ok = np.ones(len(a), bool)
+    ok[ends[(ends > 0) & (ends < len(h))] - 1] = False
+    a = a[ok]
+    b = a + 1
+    more = [(start[d] + x, start[d] + y) for d, (w, skips) in enumerate(read) if skips for x, y in bridges(skips, len(w))]
+    if more:
+        x = np.array(more, np.int64)
+        a, b = np.concatenate([a, x[:, 0]]), np.concatenate([b, x[:, 1]])
+    if not len(a):
+        return
+    key = pair_hash(h[a], h[b])
+    hit = np.flatnonzero(_look_up(table, key))
+    hit = hit[np.argsort(a[hit], kind="stable")]
+    at, key = a[hit], key[hit]
+    u, c = np.unique(key.view(np.int64), return_counts=True)
+    for x, y in zip(u.tolist(), c.tolist()):
+        count[x] += y
+    doc = np.searchsorted(start, at, side="right") - 1
+    # Place of every word when stretches count nothing.
+    covered = np.zeros(len(h) + 1, np.int64)
+    for d, (_, skips) in enumerate(read):
+        for x, y in skips:
+            covered[start[d] + x] += 1
+            covered[start[d] + y] -= 1
+    place = np.cumsum(np.cumsum(covered)[:-1] == 0) if len(h) else covered
+    close = np.zeros(len(at), bool)
+    if len(at) >= SHARED:
+        k = np.flatnonzero((doc[SHARED - 1 :] == doc[: len(doc) - SHARED + 1]) & (place[at[SHARED - 1 :]] - place[at[: len(at) - SHARED + 1]] < WINDOW + SLACK))
+        for s in range(SHARED):
+            close[k + s] = True
+    reach = WINDOW + SLACK
+    group: list[int] = []
+    chosen = np.flatnonzero(close).tolist()
+    for x, k in enumerate(chosen):
+        group.append(k)
+        after = chosen[x + 1] if x + 1 < len(chosen) else None
+        if after is not None and doc[after] == doc[k] and place[at[after]] - place[at[k]] <= 2 * reach:
+            continue
+        d = doc[k]
+        lo = max(int(np.searchsorted(place, place[at[group[0]]] - reach, side="left")), start[d])
+        hi = min(int(np.searchsorted(place, place[at[k]] + reach + 1, side="right")), start[d + 1])
+        w, skips = read[d]
+        lo, hi = lo - start[d], hi - start[d]
+        inside = [z - lo for x, y in skips if x >= lo and y <= hi for z in (x, y)]
+        yield int(d), " ".join(s for s, _ in w[lo:hi]), inside, list(dict.fromkeys(key[group].view(np.int64).tolist()))
+        group = []
+
+
+def _segments(docs: DataFrame, table) -> DataFrame:
+    """Segments of documents (doc_id, words, skips, hs) and, with a null doc_id, counts of shingles (hs, n)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        count: Counter = Counter()
+        names = ["doc_id", "words", "skips", "hs", "n"]
+        types = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        kept = worker_cache("leak-signs", dict)
         for b in batches:
-            for t in b.column(0):
-                # Time lines and tags are no words of an item, so the raw words do for counting.
-                seen = set()
-                for w in set(t.as_py().split()):
-                    s = kept.get(w)
-                    if s is None:
-                        if ":" in w:
-                            continue
-                        s = kept[w] = sign(w)
-                    seen.add(s)
-                n.update(seen & vocabulary)
-            if len(kept) > 500_000:
-                kept.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
-
-    return {r.w: r.n for r in documents.select("text").where("text is not null").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items with text in blocks of a bounded number of words, streamed to the driver."""
-    block, size = [], 0
-    for r in items.where("text is not null and item_id is not null").select("item_id", "text").toLocalIterator():
-        n = r.text.count(" ") + 1
-        if block and size + n > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, r.text))
-        size += n
-    if block:
-        yield block
+            ids = b.column(0).to_pylist()
+            for a in range(0, len(ids), 256):
+                read = [reading(t.as_py()) for t in b.column(1)[a : a + 256]]
+                yield batch([(ids[a + d], w, s, hs, None) for d, w, s, hs in segments_of(read, bits, count)])
+            if len(count) > 200_000:
+                yield batch([(None, None, None, list(count), list(count.values()))])
+                count.clear()
+        yield batch([(None, None, None, list(count), list(count.values()))])
+
+    return docs.mapInArrow(work, "doc_id long, words string, skips array<int>, hs array<long>, n array<long>")
+
+
+def _prefix(items: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(h, item_id, part): the PREFIX rarest shingles of every window of every item, in parts of two windows' length.
+
+    Parts overlap by half (even and odd numbers), so every window lies in one part.
+    """
+    each = items.select("item_id", F.size("hs").alias("m"), F.posexplode("hs").alias("q", "h"))
+    ranked = each.join(frequency, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = F.greatest(F.lit(0), F.col("q") - (WINDOW - 2))
+    last = F.least(F.col("q"), F.col("m") - (WINDOW - 1))
+    windows = ranked.select("item_id", "h", "q", "n", F.explode(F.sequence(first, last)).alias("k"))
+    rank = F.row_number().over(W.partitionBy("item_id", "k").orderBy("n", "h", "q"))
+    size = 2 * (WINDOW - 1)
+    parts = F.array(F.expr(f"2 * (q div {size})"), F.expr(f"2 * ((q + {size // 2}) div {size}) + 1"))
+    return windows.withColumn("rank", rank).where(F.col("rank") <= PREFIX).select("h", "item_id", F.explode(parts).alias("part")).distinct()
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold ten or more consecutive words of an item."""
+    sc = documents.sparkSession.sparkContext
     docs = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in _blocks(items):
-        vocabulary = {w for _, t in block for w in words(t)}
-        frequency = _frequencies(docs, vocabulary)
-
-        def work(batches: Iterator[pa.RecordBatch], block=block, frequency=frequency) -> Iterator[pa.RecordBatch]:
-            index = Items(block, frequency)
-            for b in batches:
-                rows = [(d, i) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for i in index.found(words(clean(t.as_py())))]
-                cols = list(zip(*rows)) or [(), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["doc_id", "item_id"])
-
-        part = docs.mapInArrow(work, "doc_id long, item_id long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).where("false")
-    return out.distinct()
+    known = written(_item_words(items), "items")
+    shingles = known.select(F.explode("hs").alias("h")).distinct()
+    table = sc.broadcast(bit_table((r.h for r in shingles.toLocalIterator()), shingles.count()))
+    vocabulary = {r.w for r in known.select(F.explode(F.split("words", " ")).alias("w")).distinct().toLocalIterator()}
+    numbers = {r.w for r in known.select(F.explode("numbers").alias("w")).distinct().toLocalIterator()}
+    lists = sc.broadcast((vocabulary, numbers))
+
+    found = written(_segments(docs, table).withColumn("sid", F.monotonically_increasing_id()), "segments")
+    counts = found.where("doc_id is null").select(F.explode(F.arrays_zip("hs", "n")).alias("c")).groupBy("c.hs").agg(F.sum("c.n").alias("n"))
+    prefix = written(_prefix(known, counts.withColumnRenamed("hs", "h")), "prefix")
+    segments = found.where("doc_id is not null")
+    met = joined(segments.select("sid", F.explode("hs").alias("h")), prefix, ["h"], "inner", FEW_BYTES)
+    met = met.groupBy("sid", "item_id", "part").agg(F.count("*").alias("met")).where(F.col("met") >= MET).select("sid", "item_id").distinct()
+    met = written(met, "candidates")
+    parts = met.count() // TASK_PAIRS + 1
+    pairs = segments.select("sid", "doc_id", "words", "skips").repartition(parts, "sid").join(met.repartition(parts, "sid").hint("merge"), "sid")
+    pairs = joined(pairs, written(known.select("item_id", F.col("words").alias("item")), "item-words"), ["item_id"], "inner", FEW_BYTES)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(*lists.value)
+        for b in batches:
+            keep = []
+            for w, s, i in zip(*(b.column(c).to_pylist() for c in ("words", "skips", "item"))):
+                keep.append(judge.holds(w.split(" "), list(zip(s[::2], s[1::2])), i))
+            yield b.select(["doc_id", "item_id"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("doc_id", "item_id", "words", "skips", "item").mapInArrow(verify, "doc_id long, item_id long").distinct()
