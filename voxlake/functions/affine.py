@@ -26,7 +26,8 @@ def straight_grid(m: np.ndarray, dims: tuple[int, int, int], keep_sizes: bool =
     low, high = world.min(1) - padding * size, world.max(1) + padding * size
     out = np.diag([*size, 1.0])
     out[:3, 3] = low
-    return out, tuple(int(np.ceil(v)) + 1 for v in (high - low) / size)
+    # A whole number of cells may come out a rounding error above itself.
+    return out, tuple(int(np.ceil(v - 1e-9)) + 1 for v in (high - low) / size)
 
 
 def composed(*chain: np.ndarray) -> np.ndarray:
@@ -40,7 +41,8 @@ def composed(*chain: np.ndarray) -> np.ndarray:
 def index_map(target: np.ndarray, source: np.ndarray, world: np.ndarray | None = None) -> np.ndarray:
     """Target indices to source indices, through world space and an optional world transform."""
     w = np.eye(4) if world is None else np.asarray(world, float)
-    return np.linalg.inv(np.asarray(source, float)) @ w @ np.asarray(target, float)
+    # Rounded, so that a cell that falls on a cell is not beside it by a rounding error.
+    return np.round(np.linalg.inv(np.asarray(source, float)) @ w @ np.asarray(target, float), 12)
 
 
 def itk_from_flirt(m: np.ndarray, reference: np.ndarray, ref_sizes, source: np.ndarray, src_sizes) -> np.ndarray:

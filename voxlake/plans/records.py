@@ -39,7 +39,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 def run_fd(spark, d):
     """Framewise displacement of every run by its own column order."""
     f = motion.framewise_displacement(_runs(spark, d), ["run_id"])
-    return f.select("run_id", "t", F.when(F.abs("fd") < 1e6, F.round("fd", 4) + 0.0).alias("fd"))
+    return f.select("run_id", "t", F.when(F.abs("fd") < 1e6, F.round("fd", 8) + 0.0).alias("fd"))
 
 
 def _metrics(spark, d):
@@ -146,12 +146,29 @@ QUERIES = {n: globals()[n] for n in NAMES}
 _MM = "m AS (SELECT run_id, t, v.fd AS fd, v.dvars AS dv FROM (SELECT run_id, t, arg_min({'fd': fd, 'dvars': dvars}, arrived_at) AS v FROM motion_metric GROUP BY run_id, t))"
 _FL = f"""{_MM}, fl AS (SELECT run_id, t, max(bad) OVER (PARTITION BY run_id ORDER BY t RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS flagged
   FROM (SELECT run_id, t, CASE WHEN t >= 1 AND (coalesce(fd > 1.0 AND NOT isnan(fd), false) OR coalesce(dv > 0.05 AND NOT isnan(dv), false)) THEN 1 ELSE 0 END AS bad FROM m))"""
+#: Frames of all runs in mm and degrees: numbers or text, in the order of rpformat, first copies.
+_TEXT = r"(?:^|[,|\s=])([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*([^\s,|=0-9+.-][^\s,|=]*)"
+_T_UNIT = r"""CASE WHEN {u} = 'm' THEN 1000.0 WHEN regexp_matches({u}, 'µm|μm|\bum\b|micromet|micron') THEN 0.001
+  WHEN regexp_matches({u}, '\bcm\b|centimet|zentimet') THEN 10.0 WHEN regexp_matches({u}, '\binch') THEN 25.4
+  WHEN regexp_matches({u}, '\bmet(re|er)s?\b|\bmètres?\b|\[m\]|\(m\)') THEN 1000.0 ELSE 1.0 END"""
+_R_UNIT = r"""CASE WHEN {u} IN ('''', '′') THEN 1.0 / 60 WHEN regexp_matches({u}, '\bmrad\b|milliradian') THEN degrees(0.001)
+  WHEN regexp_matches({u}, '\barcmin|bogenminute') THEN 1.0 / 60 WHEN regexp_matches({u}, '\brad\b|\bradian|bogenmaß') THEN degrees(1)
+  WHEN regexp_matches({u}, '\bdeg\b|\bdegree|\bgrad\b|°') THEN 1.0 WHEN fsl THEN degrees(1) ELSE 1.0 END"""
+_FRAMES = f"""n AS (SELECT run_id, t, arrived_at,
+    CASE WHEN rp_text IS NULL THEN [c1, c2, c3, c4, c5, c6] ELSE list_transform(regexp_extract_all(rp_text, '{_TEXT}', 1), lambda s: try_cast(s AS DOUBLE)) END AS v,
+    CASE WHEN rp_text IS NOT NULL THEN regexp_extract_all(rp_text, '{_TEXT}', 2) END AS u FROM realignment WHERE run_id IS NOT NULL AND t IS NOT NULL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY run_id, t ORDER BY arrived_at NULLS FIRST, v) AS k FROM n WHERE len(v) = 6),
+  said AS (SELECT run_id, max(rpformat) AS f FROM scrub_run GROUP BY run_id),
+  o AS (SELECT k.*, coalesce(contains(lower(f), 'fsl') OR contains(lower(f), 'mcflirt'), false) AS fsl FROM k LEFT JOIN said USING (run_id) WHERE k = 1),
+  p AS (SELECT run_id, t, fsl, CASE WHEN fsl THEN v[4:6] ELSE v[1:3] END AS tr, CASE WHEN fsl THEN v[1:3] ELSE v[4:6] END AS ro,
+    lower(CASE WHEN fsl THEN u[4] ELSE u[1] END) AS ut, lower(CASE WHEN fsl THEN u[1] ELSE u[4] END) AS ur FROM o),
+  fr AS (SELECT run_id, t, {", ".join(f"tr[{i + 1}] * ({_T_UNIT.format(u='ut')}) AS {c}" for i, c in enumerate("xyz"))},
+    {", ".join(f"ro[{i + 1}] * ({_R_UNIT.format(u='ur')}) AS {c}" for i, c in enumerate("abc"))} FROM p)"""
 _D = lambda c: f"abs({c} - lag({c}) OVER w)"
 
 ORACLE = {
-    "run_fd": "WITH g AS (SELECT run_id, t, c1, c2, c3, c4, c5, c6 FROM (SELECT *, row_number() OVER (PARTITION BY run_id, t ORDER BY arrived_at, c1) AS k FROM realignment WHERE c1 IS NOT NULL) WHERE k = 1), "
-    f"q AS (SELECT run_id, t, coalesce({_D('c1')} + {_D('c2')} + {_D('c3')} + ({_D('c4')} + {_D('c5')} + {_D('c6')}) * 3.141592653589793 * 50 / 180, 0) AS fd FROM g WINDOW w AS (PARTITION BY run_id ORDER BY t)) "
-    "SELECT run_id, t, CASE WHEN abs(fd) < 1e6 THEN round(fd, 4) + 0.0 END AS fd FROM q",
+    "run_fd": f"WITH {_FRAMES}, q AS (SELECT run_id, t, coalesce({_D('x')} + {_D('y')} + {_D('z')} + ({_D('a')} + {_D('b')} + {_D('c')}) * 3.141592653589793 * 50 / 180, 0) AS fd "
+    "FROM fr WINDOW w AS (PARTITION BY run_id ORDER BY t)) SELECT run_id, t, CASE WHEN abs(fd) < 1e6 THEN round(fd, 8) + 0.0 END AS fd FROM q",
     "run_flags": f"WITH {_FL} SELECT run_id, t FROM fl WHERE flagged = 1",
     "run_frame_map": f"WITH {_FL} SELECT run_id, t, row_number() OVER (PARTITION BY run_id ORDER BY t) - 1 AS new_t FROM fl WHERE flagged = 0",
     "header_lookup": "SELECT image, protocolname AS value FROM (SELECT image, protocolname, row_number() OVER (PARTITION BY image ORDER BY loaded_at DESC, header_id DESC) AS k FROM headerinfo) WHERE k = 1",

@@ -81,23 +81,29 @@ def smooth_pass(src: str, out: str, axis: str) -> str:
     )
 
 
-FRAMES = "f0 AS (SELECT t, x, y, z, v FROM l WHERE t < 4 AND z < 8)"
-CELLS = "c AS (SELECT x, y, z, v FROM l WHERE t = 0 AND z < 8)"
+NZ = "nz AS (SELECT max(z) + 1 AS n FROM e)"
+FRAMES = "f0 AS (SELECT t, x, y, z, v FROM l)"
+CELLS = "c AS (SELECT t, x, y, z, v FROM l)"
 
 
-def grid(a: int, b: int, c: int) -> str:
-    return f"g AS (SELECT i % {a} AS x, (i // {a}) % {b} AS y, i // {a * b} AS z, i AS id FROM range({a * b * c}) q(i))"
+def grid(a: int, b: int, c: str, frames: str = ", range(64) f(t)") -> str:
+    """NZ and all cells of a grid for all frames; ``c`` is the number of slices by that of the image, n."""
+    t = "f.t, " if frames else ""
+    return (
+        f"{NZ}, g AS (SELECT {t}i % {a} AS x, (i // {a}) % {b} AS y, i // {a * b} AS z, i AS id, n, nn "
+        f"FROM (SELECT unnest(range({a * b} * nn)) AS i, n, nn FROM (SELECT n, CAST({c} AS BIGINT) AS nn FROM nz)) q{frames})"
+    )
 
 
-def targets(new: tuple[int, int, int], old=(8, 8, 8)) -> tuple[str, str]:
-    p = ", ".join(f"CAST({c} AS DOUBLE) / ({n}.0 / {o}.0) AS p{c}" for c, n, o in zip("xyz", new, old))
-    return grid(*new), f"tg AS (SELECT id, {p} FROM g)"
+def targets(new: tuple[int, int, str]) -> tuple[str, str]:
+    p = ", ".join(f"CAST({c} AS DOUBLE) / ({n} / {o}) AS p{c}" for c, n, o in zip("xyz", (f"{new[0]}.0", f"{new[1]}.0", "CAST(nn AS DOUBLE)"), ("8.0", "8.0", "n")))
+    return grid(*new), f"tg AS (SELECT t, id, {p} FROM g)"
 
 
 def corners(lo: int, hi: int, weight: str, name: str) -> str:
     near = " AND ".join(f"c.{a} BETWEEN floor(tg.p{a}) + {lo} AND floor(tg.p{a}) + {hi}" for a in "xyz")
     d = ", ".join(f"tg.p{a} - c.{a} AS d{a}" for a in "xyz")
-    return f"{name} AS (SELECT id, sum(v * w) AS v, sum(w) AS w, count(*) AS n FROM (SELECT id, v, {weight} AS w FROM (SELECT tg.id, c.v, {d} FROM tg JOIN c ON {near})) GROUP BY id)"
+    return f"{name} AS (SELECT t, id, sum(v * w) AS v, sum(w) AS w, count(*) AS n FROM (SELECT t, id, v, {weight} AS w FROM (SELECT tg.t, tg.id, c.v, {d} FROM tg JOIN c ON tg.t = c.t AND {near})) GROUP BY t, id)"
 
 
 DIST8 = "sqrt(pow(1 - abs(dx), 2) + pow(1 - abs(dy), 2) + pow(1 - abs(dz), 2))"
@@ -109,8 +115,23 @@ def lz(d: str, a: int = 3) -> str:
 
 
 LZ = " * ".join(lz(f"d{a}") for a in "xyz")
+#: Lanczos-3 values of the targets tg where all 216 cells are there, else by the eight corners.
+LANCZOS_XYZ = (
+    corners(-2, 3, LZ, "k"), corners(0, 1, DIST8, "nr"),
+    "lz AS (SELECT tg.t, tg.id, CASE WHEN k.n = 216 THEN k.v ELSE nr.v / nullif(nr.w, 0) END AS value FROM tg LEFT JOIN k ON tg.t = k.t AND tg.id = k.id LEFT JOIN nr ON tg.t = nr.t AND tg.id = nr.id)",
+)
+
+
+def moved(px: str, py: str, pz: str, value: str) -> str:
+    """The image at the places px, py, pz (source cells) of every cell of its own grid."""
+    return w(
+        f"SELECT lz.t, g.x, g.y, g.z, {r(value)} AS v FROM lz JOIN g USING (t, id)", CELLS, grid(8, 8, "n"),
+        f"tg AS (SELECT t, id, {px} AS px, {py} AS py, {pz} AS pz FROM g)", *LANCZOS_XYZ,
+    )
+
+
 MASK = "m AS (SELECT x, y, z, CASE WHEN label = 2 THEN 1.0::DOUBLE ELSE 0.0 END AS weight FROM e)"
-MOVED = lambda a, b, c: f"mv AS (SELECT x + {a} AS x, y + {b} AS y, z + {c} AS z, v FROM c)"
+MOVED = lambda a, b, c: f"mv AS (SELECT t, x + {a} AS x, y + {b} AS y, z + {c} AS z, v FROM c)"
 MONTHS = """sm AS (SELECT l_suppkey AS voxel, CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t, avg(CAST(l_extendedprice AS DOUBLE)) AS v
   FROM lineitem GROUP BY ALL), ss AS (SELECT t, avg(v) AS value FROM sm GROUP BY t), p AS (SELECT voxel, sm.t, v, ss.value AS sv FROM sm JOIN ss USING (t))"""
 DAILY = """dv AS (SELECT user_id AS voxel, CAST(CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS INTEGER) AS t, avg(value) AS v FROM events GROUP BY ALL)"""
@@ -192,26 +213,25 @@ ORACLE = {
     "flag_dilate": w("SELECT t, flagged FROM fl", METRICS),
     "frame_map": w("SELECT t, new_t FROM fm", METRICS),
     "scrub": w(f"SELECT voxel, new_t AS t, {r('v')} AS v FROM l JOIN fm USING (t)", METRICS),
-    "pad_const": w(f"SELECT g.x, g.y, g.z, {r('coalesce(mv.v, -1.0)')} AS v FROM g LEFT JOIN mv USING (x, y, z)", CELLS, MOVED(1, 0, 2), grid(9, 9, 10)),
-    "crop": w(f"SELECT g.x, g.y, g.z, {r('coalesce(mv.v, 0.0)')} AS v FROM g LEFT JOIN mv USING (x, y, z)", CELLS, MOVED(-2, -1, 0), grid(5, 4, 4)),
+    "pad_const": w(f"SELECT g.t, g.x, g.y, g.z, {r('coalesce(mv.v, -1.0)')} AS v FROM g LEFT JOIN mv USING (t, x, y, z)", CELLS, MOVED(1, 0, 2), grid(9, 9, "n + 2")),
+    "crop": w(f"SELECT g.t, g.x, g.y, g.z, {r('coalesce(mv.v, 0.0)')} AS v FROM g LEFT JOIN mv USING (t, x, y, z)", CELLS, MOVED(-2, -1, 0), grid(5, 4, "n - 4")),
     "pad_mirror": w(
-        f"SELECT g.x, g.y, g.z, {r('c.v')} AS v FROM g JOIN c ON c.x = {MIRROR('x', 8, 2)} AND c.y = {MIRROR('y', 8, 1)} AND c.z = {MIRROR('z', 8, 0)}", CELLS, grid(11, 12, 10)),
-    "orient_flip": w(f"SELECT {r('v')} AS v, 7 - x AS x, z AS y, 7 - y AS z FROM c", CELLS),
+        f"SELECT g.t, g.x, g.y, g.z, {r('c.v')} AS v FROM g JOIN c ON c.t = g.t AND c.x = {MIRROR('x', 8, 2)} AND c.y = {MIRROR('y', 8, 1)} AND c.z = {MIRROR('z', 'g.n', 0)}", CELLS, grid(11, 12, "n + 2")),
+    "orient_flip": w(f"SELECT t, {r('v')} AS v, 7 - x AS x, z AS y, 7 - y AS z FROM c", CELLS),
     "grid_resample_mask": w(
         "SELECT g.x, g.y, g.z, m.weight FROM g JOIN m ON m.x = floor(CAST(8.0 AS FLOAT) / CAST(5.0 AS FLOAT) * CAST(g.x AS FLOAT)) "
-        "AND m.y = floor(CAST(8.0 AS FLOAT) / CAST(5.0 AS FLOAT) * CAST(g.y AS FLOAT)) AND m.z = floor(CAST(8.0 AS FLOAT) / CAST(11.0 AS FLOAT) * CAST(g.z AS FLOAT)) WHERE m.z < 8",
-        MASK, grid(5, 5, 11)),
+        "AND m.y = floor(CAST(8.0 AS FLOAT) / CAST(5.0 AS FLOAT) * CAST(g.y AS FLOAT)) AND m.z = floor(CAST(g.n AS FLOAT) / CAST(g.nn AS FLOAT) * CAST(g.z AS FLOAT))",
+        MASK, grid(5, 5, "ceil(11.0 * n / 8)", "")),
     "smooth_x": w(f"SELECT t, x, y, z, {r('v')} AS v FROM f1", FRAMES, smooth_pass("f0", "f1", "x")),
     "smooth_gauss": w(f"SELECT t, x, y, z, {r('v')} AS v FROM f3", FRAMES, smooth_pass("f0", "f1", "x"), smooth_pass("f1", "f2", "y"), smooth_pass("f2", "f3", "z")),
     "border_distance": w(
         f"SELECT a.x, a.y, a.z, {r('min(sqrt(9.0 * (pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))))')} AS dist FROM m a, bd b WHERE a.on_ = 1 GROUP BY a.x, a.y, a.z",
         "m AS (SELECT x, y, z, CASE WHEN label <= 4 THEN 1 ELSE 0 END AS on_ FROM e)",
         "bd AS (SELECT DISTINCT b.x, b.y, b.z FROM m b JOIN m a ON a.on_ = 1 AND b.on_ = 0 AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1)"),
-    "rescale_dist8": w(f"SELECT tg.id, {r('k.v / k.w')} AS value FROM tg LEFT JOIN k ON tg.id = k.id AND k.w > 0", CELLS, *targets((12, 8, 6)), corners(0, 1, DIST8, "k")),
+    "rescale_dist8": w(f"SELECT tg.t, tg.id, {r('k.v / k.w')} AS value FROM tg LEFT JOIN k ON tg.t = k.t AND tg.id = k.id AND k.w > 0", CELLS, *targets((12, 8, "ceil(n * 0.75)")), corners(0, 1, DIST8, "k")),
     "interp_lanczos3": w(
-        f"SELECT tg.id, {r('CASE WHEN k.n = 216 THEN k.v ELSE n.v / nullif(n.w, 0) END')} AS value FROM tg LEFT JOIN k ON tg.id = k.id LEFT JOIN n ON tg.id = n.id",
-        CELLS, *targets((10, 10, 10)), corners(-2, 3, LZ, "k"), corners(0, 1, DIST8, "n")),
-    "interp_trilinear": w(f"SELECT tg.id, {r('k.v')} AS value FROM tg LEFT JOIN k ON tg.id = k.id AND k.w > 1 - 1e-9", CELLS, *targets((10, 10, 10)), corners(0, 1, TRI, "k")),
+        f"SELECT t, id, {r('value')} AS value FROM lz", CELLS, *targets((10, 10, "ceil(n * 1.25)")), *LANCZOS_XYZ),
+    "interp_trilinear": w(f"SELECT tg.t, tg.id, {r('k.v')} AS value FROM tg LEFT JOIN k ON tg.t = k.t AND tg.id = k.id AND k.w > 1 - 1e-9", CELLS, *targets((10, 10, "ceil(n * 1.25)")), corners(0, 1, TRI, "k")),
     "mult_div": w(f"SELECT x, y, z, t, {r('v * (v * 2 + 1)')} AS product, {r('v / nullif(v * 2 + 1, 0)')} AS quotient FROM l"),
     "paste_regressors": w(f"SELECT t, {r('s.value')} AS r1, {r('s7.value')} AS r2 FROM s JOIN s7 USING (t)", seed(2), seed(7, "s7")),
     "supplier_corr": f"WITH {MONTHS} SELECT voxel, {r(fisher('c'))} AS value FROM (SELECT voxel, {PEARSON} AS c FROM p GROUP BY voxel)",
@@ -224,4 +244,10 @@ ORACLE = {
         "sc AS (SELECT voxel, new_t AS t, v FROM f JOIN fm USING (t))",
         "co AS (SELECT t, avg(v) AS value FROM sc WHERE voxel IN (SELECT voxel FROM e WHERE label = 2) GROUP BY t)",
         f"k AS (SELECT voxel, {PEARSON} AS c FROM (SELECT voxel, v, co.value AS sv FROM sc JOIN co USING (t)) GROUP BY voxel)"),
+    "transform_chain": moved("cos(radians(5)) * x + sin(radians(5)) * y - 0.5", "cos(radians(5)) * y - sin(radians(5)) * x", "z + 1.0", "coalesce(2 * value, 0.0)"),
+    "fugue_warp": moved("CAST(x AS DOUBLE)", "y - 1.0", "CAST(z AS DOUBLE)", "value"),
+    "deoblique": w(
+        f"SELECT lz.t, g.x, g.y, g.z, {r('value')} AS v FROM lz JOIN g USING (t, id)", CELLS, grid(12, 12, "n + 2"),
+        "k0 AS (SELECT sin(radians(10)) AS s, cos(radians(10)) AS c)",
+        "tg AS (SELECT t, id, k0.c * (x - 7 * s - 1) + s * (y - 1) AS px, k0.c * (y - 1) - s * (x - 7 * s - 1) AS py, z - 1.0 AS pz FROM g, k0)", *LANCZOS_XYZ),
 }
