@@ -202,6 +202,7 @@ class Judge:
         self.known, self.numbers = known, numbers
         self.near: dict[tuple[str, str], bool] = {}
         self.items: dict[str, tuple] = {}
+        self.last: tuple | None = None
 
     def same(self, a: str, b: str) -> bool:
         if a == b:
@@ -227,17 +228,27 @@ class Judge:
             got = self.items[item] = words, dict(places)
         return got
 
-    def holds(self, doc: list[str], skips: list[tuple[int, int]], item: str) -> bool:
-        """Whether the words hold WINDOW consecutive words of the item."""
+    def segment(self, doc: str, skips: list[int]) -> tuple[list[str], list[tuple[int, int]], dict]:
+        """The words of a segment, what may be skipped, and the places of its pairs; segments come sorted, so the last one is kept."""
+        if self.last is None or self.last[0] != doc or self.last[1] != skips:
+            words, spans, places = doc.split(" "), list(zip(skips[::2], skips[1::2])), defaultdict(list)
+            for p, pair in enumerate(zip(words, words[1:])):
+                places[pair].append((p, p + 1))
+            for p, r in bridges(spans, len(words)):
+                places[words[p], words[r]].append((p, r))
+            self.last = doc, skips, (words, spans, dict(places))
+        return self.last[2]
+
+    def holds(self, text: str, stretches: list[int], item: str) -> bool:
+        """Whether the words of a segment (stretches: first and past-last word of each, one after the other) hold WINDOW
+        consecutive words of the item."""
         words, places = self.pairs_of(item)
-        if len(words) < WINDOW:
+        doc, skips, here = self.segment(text, stretches)
+        common = here.keys() & places.keys()
+        if len(words) < WINDOW or sum(len(places[x]) for x in common) < SHARED:
             return False
-        none = ()
-        hits = [(p, p + 1, q) for p, pair in enumerate(zip(doc, doc[1:])) for q in places.get(pair, none)]
-        if skips:
-            hits += [(p, r, q) for p, r in bridges(skips, len(doc)) for q in places.get((doc[p], doc[r]), none)]
-            hits.sort()
-        if len(hits) < SHARED or not self._bound(hits, skips, len(doc)):
+        hits = sorted((p, r, q) for x in common for p, r in here[x] for q in places[x])
+        if not self._bound(hits, skips, len(doc)):
             return False
         ahead, back = defaultdict(list), defaultdict(list)
         for a, b in skips:
@@ -509,7 +520,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches:
             keep = []
             for w, s, i in zip(*(b.column(c).to_pylist() for c in ("words", "skips", "item"))):
-                keep.append(judge.holds(w.split(" "), list(zip(s[::2], s[1::2])), i))
+                keep.append(judge.holds(w, s, i))
             yield b.select(["doc_id", "item_id"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("doc_id", "item_id", "words", "skips", "item").mapInArrow(verify, "doc_id long, item_id long").distinct()
