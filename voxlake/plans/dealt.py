@@ -22,7 +22,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    return units.run_units(table(spark, d, "realignment"), table(spark, d, "motion_metric"), table(spark, d, "scrub_run"))
+    return units.source_links(*[table(spark, d, n) for n in ("realignment", "motion_metric", "scrub_run", "image_header")])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,12 @@ def p5_converted(spark: SparkSession, d: str) -> DataFrame:
     return out.select("run_id", "t", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "pitch", "roll", "yaw")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p4_found, p5_found, p5_converted)}
+def p5_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Scale, offset and residual of the two sources of every run, the snapped units and where they come from."""
+    return _units(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p4_found, p5_found, p5_converted, p5_sources)}
 
 _CELLS = r"""
 WITH f AS (SELECT file_id, max(n_columns) AS n_columns FROM regressor_file GROUP BY file_id),
