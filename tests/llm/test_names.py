@@ -99,3 +99,51 @@ def test_components(rows):
 @pytest.mark.parametrize("value,want", [("Zaziroholm UH", ("hospital university", "zaziroholm")), ("Gen Inf Tuvofiberg", ("general infirmary", "tuvofiberg")), ("N/A", None), ("University Hospital", None)])
 def test_institution_parts(value, want):
     assert N.institution_parts(value) == want
+
+
+@pytest.mark.parametrize("radius,tile", [(1, 7), (2, 2000), (3, 11)])
+def test_radius_join_against_brute_force(rows, radius, tile):
+    g = random.Random(radius)
+    word = lambda n: "".join(g.choice("abcdez") for _ in range(n))
+    given = ["q" + word(6) for _ in range(5)]
+
+    def damaged(w):
+        for _ in range(g.randint(0, 2)):
+            i = g.randrange(1, len(w) - 1)
+            w = g.choice([w[:i] + w[i + 1 :], w[:i] + g.choice("abz") + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+        return w
+
+    base = [("x" + word(9), g.choice(given)) for _ in range(25)]
+    names = sorted({(damaged(s), damaged(p)) for s, p in base for _ in range(4)})
+    root = list(range(len(names)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in combinations(enumerate(names), 2):
+        if all(N.distance(x, y, radius) <= radius for x, y in zip(a, b)):
+            root[find(i)] = find(j)
+    data = [(i, f"{s}, {p}", None, None, "x") for i, (s, p) in enumerate(names)]
+    got = {}
+    for r in N.linked_values(rows(data, SCHEMA), radius, tile).collect():
+        got.setdefault(r.entity, set()).add(r.value)
+    want = {}
+    for i, (s, p) in enumerate(names):
+        want.setdefault(find(i), set()).add(f"{s}, {p}")
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_hot_entity_in_parts(rows, monkeypatch):
+    monkeypatch.setattr(N, "VALUES", 2)
+    same = ["Sutaloha, Veronica", "SUTALOHA^VERONICA", "Ronnie Sutaloha", "Sutalloha^Veronica^", "sutaloha veronica "]
+    assert pairs(rows, same * 3) == {("patientname", *sorted(p)) for p in combinations(same, 2)}
+
+
+def test_any_number_of_given_names(rows):
+    g = random.Random(1)
+    given = list({"b" + "".join(g.choice("aeioulnrst") for _ in range(8)) for _ in range(700)})
+    known = [f"Xyzu{i}q, {w}".replace(str(i), "abcdefghij"[i % 10] * 3 + "klmnopqrst"[i // 10 % 10] * 3 + "uvwxyzabcd"[i // 100]) for i, w in enumerate(given)]
+    got = pairs(rows, known + [" ".join(x.split(", ")) for x in known])
+    assert {("patientname", *sorted((x, " ".join(x.split(", "))))) for x in known} <= got
