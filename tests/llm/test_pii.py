@@ -73,3 +73,65 @@ def test_frames(rows):
     assert {tuple(r) for r in P.personal_items(d).collect()} == {(1, "patientname", "name", 1), (2, "imagecomments", "phone", 5)}
     assert P.personal_items(d).count() == 2 and P.masked_texts(d).count() == 4
     assert P.personal_items(d.where("false")).count() == 0
+
+
+#: Sentences written without the templates of the tables, with what they hold.
+UNSEEN = [
+    ("Discussed with John Miller before the scan", {("name", "John Miller")}),
+    ("Next of kin Jane Doe informed", {("name", "Jane Doe")}),
+    ("Contact: Anna Bell, 12 Elm Way, Leeds", {("name", "Anna Bell"), ("address", "12 Elm Way, Leeds")}),
+    ("Lives at 45 Kings Parade", {("address", "45 Kings Parade")}),
+    ("Llamar a Maria Lopez al 612 345 678", {("name", "Maria Lopez"), ("phone", "612 345 678")}),
+    ("carer: tom hardy", {("name", "tom hardy")}),
+    ("Hausarzt Peter Schmidt hat angerufen", {("name", "Peter Schmidt")}),
+    ("results to r.jones+mri@clinic.example.org please", {("email", "r.jones+mri@clinic.example.org")}),
+    ("see mailto:ward7@hospital.example.net for the form", {("email", "ward7@hospital.example.net")}),
+    ("write to ann (at) lab dot example dot com", {("email", "ann (at) lab dot example dot com")}),
+    ("moved last year, now Flat 3, 18 Orchard Grove, York", {("address", "Flat 3, 18 Orchard Grove, York")}),
+    ("wohnt jetzt Lindenstraße 14", {("address", "Lindenstraße 14")}),
+    ("domicilié 7 rue Pasteur", {("address", "7 rue Pasteur")}),
+    ("vive en calle Mayor 22", {("address", "calle Mayor 22")}),
+    ("her mobile is +44 7700 900123 after six", {("phone", "+44 7700 900123")}),
+    ("tel. 020 7946 0958 (evenings)", {("phone", "020 7946 0958")}),
+    ("insurance no. AB1234567 on file", {("id_number", "AB1234567")}),
+    ("MRN 00451278, allergies none", {("id_number", "00451278")}),
+    ("SSN 078-05-1120 given at desk", {("id_number", "078-05-1120")}),
+    ("Dr. Okafor asked for a second series", {("name", "Okafor")}),
+    ("spoke with Mrs Ingrid Larsen about claustrophobia", {("name", "Ingrid Larsen")}),
+    ("interpreter: Yusuf Demir", {("name", "Yusuf Demir")}),
+    ("son Pavel Novak picked up the films", {("name", "Pavel Novak")}),
+    ("the porter Mike Dunn knows the way", {("name", "Mike Dunn")}),
+]
+
+
+def test_recall_on_unseen_sentences():
+    want = hit = extra = 0
+    for text, items in UNSEEN:
+        got = {(k, text[a:b]) for k, a, b in P.free_text_items(text)}
+        want, hit, extra = want + len(items), hit + len(items & got), extra + len(got - items)
+    assert hit / want >= 0.9 and extra / want <= 0.1, (hit, extra, want)
+
+
+def test_without_anchors_nothing_is_found(monkeypatch):
+    import ahocorasick
+
+    none = ahocorasick.Automaton()
+    none.add_word("\x00never", (("cue", "never"),))
+    none.make_automaton()
+    monkeypatch.setattr(P, "anchors", lambda: none)
+    assert not any(P.free_text_items(t) for t, _ in UNSEEN)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Contact Radiology before noon", "carer present", "partner waits in room 12", "gp letter attached", "2 series on 3 T Skyra", "slab at 45 degrees, 612 slices", "Next of kin informed", "scan at 12 30 45",
+     "FOV 220 220 180 mm", "no way 12 can be repeated", "friend drives home"],
+)
+def test_ordinary_sentences(text):
+    assert P.free_text_items(text) == []
+
+
+def test_whole_text_is_read():
+    filler = "run 12 of the series was repeated at 3 T because of motion. " * 4000
+    text = filler + "Contact: Anna Bell, 12 Elm Way, Leeds. " + filler
+    assert [(k, text[a:b]) for k, a, b in P.free_text_items(text)] == [("name", "Anna Bell"), ("address", "12 Elm Way, Leeds")]

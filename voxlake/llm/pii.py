@@ -1,12 +1,12 @@
 """Personal items in free text: found, and replaced by typed placeholders.
 
-Anchor expansion. An Aho-Corasick automaton over lower-case text finds the anchors: at-signs and their
-written forms, cues of telephone, identity numbers, addresses and persons, titles. From each anchor a
-deterministic local parser expands over its neighbourhood and validates what it reads (a domain with a
-top-level name, enough digits, the shape of a number that is issued to persons, street words with a number,
-words that can be a name). Shapes that stand without a cue (identity numbers, international telephone
-numbers, street lines) have their own validated anchors. Overlaps go to the item found by the stronger kind,
-in the order of ``KINDS``.
+Anchor expansion. One pass of an Aho-Corasick automaton over the lower-case text finds the anchors: at-signs and
+their written forms, digits, street words, cues of telephone, identity numbers and persons, titles. Nothing else
+looks at the whole text: from each anchor a deterministic local parser expands to both sides and validates what it
+reads there (a local part and a domain with a top-level name around an at-sign; the number around a digit, with
+enough digits or the shape of a number that is issued to persons; a number, capitalised words and town around a
+street word; words that can be a name beside a cue). Overlaps go to the item found by the stronger kind, in the
+order of ``KINDS``.
 
 Everything is a map over the rows: no shuffle, no limit on a text's length. Cues and street words are fixed
 lists in English, German, French and Spanish.
@@ -40,6 +40,13 @@ NAME_CUES = (
     "referred by", "accompanied by", "consent taken by", "demandé par", "überweisung durch", "spoke to", "scan of", "pt", "patient", "daughter", "son",
     "wife", "husband", "mother", "father", "brother", "sister", "seen by", "reported by", "requested by", "signed by", "taken by", "enviado por", "envoyé par",
 )
+#: Words of persons and contacts that stand before anything; what follows must look like a full name.
+ROLE_CUES = (
+    "discussed with", "spoke with", "talked to", "called by", "next of kin", "emergency contact", "contact", "carer", "caregiver", "guardian", "partner", "spouse",
+    "neighbour", "neighbor", "friend", "uncle", "aunt", "grandmother", "grandfather", "interpreter", "gp", "family doctor", "hausarzt", "hausärztin", "betreuer", "betreuerin",
+    "angehöriger", "angehörige", "ehemann", "ehefrau", "llamar a", "avisar a", "contacto", "acompañado por", "acompañada por", "médico", "médecin", "prévenir", "appeler", "accompagné par",
+    "accompagnée par", "mari", "épouse",
+)
 NAME_ENDS = ("felt unwell", "waits outside", "anxious", "after scan", "aborted")
 TITLES = ("dr", "mr", "mrs", "ms", "miss", "prof", "herr", "frau", "mme", "mlle", "sr", "sra", "señor", "señora", "monsieur", "madame")
 PSEUDONYM = r"(?i)anonym\w*|anon\W.*|unknown|phantom.*|test.*|none|n/?a|null|nan|-+|\?+|x+|[^^,]*\d.*"
@@ -57,7 +64,12 @@ ID_ALONE = re.compile(r"(?<![\w.+/-])(?:" + "|".join(ID_SHAPES) + r")(?![\w-])(?
 ID_CUED = re.compile(r"(?:no\.?|nr\.?|number)?[\s:#]*((?:" + "|".join(ID_SHAPES) + r"|[A-Z]{0,3}\d[\dA-Z-]{4,}))(?![\w])", re.I)
 WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 TAIL = r"[^\W\d_]*(?:['’-][^\W\d_]+)*"
-STREET_WORDS = r"(?:street|st\.|st\b|road|rd\b\.?|avenue|ave\b\.?|lane|hill|close|terrace|drive|court|place|square|crescent|gardens|boulevard|row|mews)"
+STREET_WORDS = r"(?:street|st\.|st\b|road|rd\b\.?|avenue|ave\b\.?|lane|hill|close|terrace|drive|court|place|square|crescent|gardens|boulevard|row|mews|way|parade|grove|esplanade|quay|wharf)"
+#: Anchors of addresses: the words above, and those of French, Spanish and German streets.
+STREET_CUES = (
+    "street", "st", "road", "rd", "avenue", "ave", "lane", "hill", "close", "terrace", "drive", "court", "place", "square", "crescent", "gardens", "boulevard", "row", "mews", "way",
+    "parade", "grove", "esplanade", "quay", "wharf", "rue", "allée", "chemin", "calle", "avenida", "plaza", "paseo", "straße", "strasse", "str.", "weg", "platz", "gasse", "allee",
+)
 ADDRESS = re.compile(
     rf"(?<![\w.])(?:(?:(?:Flat|Apt|Unit|Suite)\.? \d+[a-z]?, )?\d+[a-z]? (?:[A-ZÀ-Ý]{TAIL} ){{1,3}}(?i:{STREET_WORDS})(?!\w)"
     rf"|\d+[a-z]?,? (?i:rue|avenue|boulevard|place|allée|chemin)(?: (?i:de|du|des|la|le))* {WORD}"
@@ -65,6 +77,11 @@ ADDRESS = re.compile(
     rf"|{WORD}(?i:straße|strasse|str\.|weg|platz|gasse|allee) ?\d+[a-z]?)"
     rf"(?P<rest>(?:,? (?:Apt|Flat|Unit|Suite)\.? \d+[a-z]?)?(?:, (?:\d{{4,5}} )?[A-ZÀ-Ý][^\W\d_]+(?: \d{{4,5}})?(?=\.?\s*$|\.?\s*\n|\.\s|[;,]| [/-] | \())?)"
 )
+FLAT_BEFORE = re.compile(r"(?:Flat|Apt|Unit|Suite)\.? \d+[a-z]?, $")
+BEFORE_NUMBER = re.compile(r"[\s.:]*(?:no\.?|nr\.?|al|sous|unter|at|on)?[\s.:]*")
+#: A grouped number behind a word by which someone is reached.
+REACHED_AT = re.compile(r"\b(?:al|at|on|unter|sous|au)\s$")
+GROUPED = re.compile(r"\d{2,5}(?: \d{2,4}){2,4}")
 TITLE = r"(?:(?:" + "|".join(TITLES) + r")\b\.?\s+)"
 #: What may follow "Surname, Given", so that the comma is no end of the name.
 CLOSED = r"(?=\.?\s*$|\.?\s*\n|\.\s|[;,]| [/-] | felt\b| waits\b| anxious\b| after\b| aborted\b)"
@@ -72,6 +89,9 @@ NAME_FORMS = rf"(?:{WORD}, {WORD}{CLOSED}|(?:[^\W\d_]\. ?)+{WORD}|{WORD} [^\W\d_
 AFTER_CUE = re.compile(rf"[\s:]+(?i:{TITLE})*({NAME_FORMS})")
 AFTER_TITLE = re.compile(rf"\.?\s+(?i:{TITLE})*((?:[^\W\d_]\. ?)+{WORD}|{WORD} [^\W\d_]\. {WORD}|{WORD} {WORD}|{WORD})")
 BEFORE_END = re.compile(rf"(?:^|(?<=\n)|(?<=[;:,./-] )|(?<=[;:,/]))\s*(?i:{TITLE})*({NAME_FORMS})\s*$")
+PROPER = r"(?:[A-ZÀ-Ý][^\W\d_]+(?:['’-][^\W\d_]+)*)"
+ROLE_NAME = re.compile(rf"[\s:]+(?i:{TITLE})*({PROPER}(?: (?:[A-ZÀ-Ý]\.|(?:de|van|von|der|la|del|di|da))){{0,2}}(?: {PROPER}){{1,2}})(?![\w@])")
+ROLE_LOWER = re.compile(rf"\s*:\s*([^\W\d_]{{2,}} [^\W\d_]{{2,}})(?=\s*(?:$|\n|[.,;(]))")
 NOT_NAMES = frozenset(
     "the a an of in on at to by for with after before and or scan outside room ward series run first last radiology doctor nurse staff mother father family parents technician "
     "anxious aborted unwell felt waits".split()
@@ -91,7 +111,10 @@ def anchors():
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        groups = (("email", AT), ("phone", PHONE_CUES), ("id_number", ID_CUES), ("name", NAME_CUES), ("end", NAME_ENDS), ("title", TITLES))
+        groups = (
+            ("email", AT), ("digit", tuple("0123456789")), ("street", STREET_CUES), ("phone", PHONE_CUES), ("id_number", ID_CUES), ("name", NAME_CUES),
+            ("role", ROLE_CUES), ("end", NAME_ENDS), ("title", TITLES),
+        )
         for kind, cues in groups:
             for cue in cues:
                 known = a.get(cue, ())
@@ -127,37 +150,143 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def _numbers(text: str, low: str, cues: list[tuple[int, str, str]]) -> list[tuple[str, int, int]]:
+def _digit_starts(text: str, at: list[int]) -> list[int]:
+    """Where the groups of digits at the anchors begin."""
+    return [i for i in at if i == 0 or not text[i - 1].isdigit()]
+
+
+def _word_start(text: str, i: int) -> int:
+    while i > 0 and (text[i - 1].isalnum() or text[i - 1] in "_'’-"):
+        i -= 1
+    return i
+
+
+def _emails(text: str, at: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Around each at-sign [a, b): the local part before it, the domain behind it."""
+    out = []
+    for a, b in at:
+        i = a
+        if i > 0 and text[i - 1].isspace():
+            i -= 1
+        while i > 0 and (text[i - 1].isalnum() or text[i - 1] in "_.%+-"):
+            i -= 1
+        while i < a:
+            m = EMAIL.match(text, i)
+            if m and m.end(1) <= a < m.start(2):
+                out.append(("email", i, m.end()))
+                break
+            # A local part begins at the edge of its characters, or behind a percent sign.
+            i = text.find("%", i, a) + 1 or a
+    return out
+
+
+def _addresses(text: str, at: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Around each street word [a, b): from the house number, or the word itself, to the town."""
+    out = []
+    for a, b in at:
+        starts = {a, _word_start(text, a)}
+        i = a
+        # Back over up to three words and a house number, and a flat before it.
+        for _ in range(5):
+            if i > 0 and text[i - 1] == " ":
+                i -= 1
+                j = i - 1 if i > 0 and text[i - 1] == "," else i
+                k = _word_start(text, j)
+                if k == j:
+                    break
+                if text[k].isdigit():
+                    starts.add(k)
+                    flat = FLAT_BEFORE.search(text, max(0, text.rfind("\n", 0, k)), k)
+                    if flat:
+                        starts.add(flat.start())
+                    break
+                i = k
+            else:
+                break
+        for k in sorted(starts):
+            m = ADDRESS.match(text, k)
+            if m and m.start() <= a < m.end():
+                out.append(("address", m.start(), m.end()))
+                break
+    return out
+
+
+def _numbers(text: str, digits: list[int], cues: list[tuple[int, str, str]]) -> list[tuple[str, int, int]]:
     out = []
-    for m in ID_ALONE.finditer(text):
-        out.append(("id_number", m.start(), m.end()))
+    tried: set[int] = set()
+    done = 0
+    for i in digits:
+        # Numbers issued to persons: the word around the digits, or two letters and a space before it.
+        k = _word_start(text, i)
+        for start in (k - 3, k):
+            if start in tried or start < 0 or (start < k and not (text[k - 1] == " " and text[start : start + 2].isalpha())):
+                continue
+            tried.add(start)
+            m = ID_ALONE.match(text, start)
+            if m:
+                out.append(("id_number", m.start(), m.end()))
+                break
+        # Telephone numbers: the run of digit groups, from its sign or bracket.
+        if i < done:
+            continue
+        start = i - 1 if i and text[i - 1] in "+(" else i
+        if start == i - 1 and text[start] == "(" and start and text[start - 1] == "+":
+            start -= 1
+        m = NUMBER_RUN.match(text, start) or NUMBER_RUN.match(text, i)
+        if not m:
+            continue
+        done = m.end()
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in ".-/"):
+            continue
+        called = REACHED_AT.search(text, max(0, m.start() - 8), m.start()) and GROUPED.fullmatch(m[0])
+        if (called or PHONE_ALONE.match(m[0])) and 7 <= _digits(m[0]) <= 18:
+            out.append(("phone", m.start() + (m[0][0] == "("), m.end()))
     for end, kind, _ in cues:
         if kind == "id_number":
             m = ID_CUED.match(text, end)
             if m and _digits(m[1]) >= 5:
                 out.append(("id_number", m.start(1), m.end(1)))
         elif kind == "phone":
-            m = re.compile(r"[\s.:]*(?:no\.?|nr\.?)?[\s.:]*").match(text, end)
+            m = BEFORE_NUMBER.match(text, end)
             n = NUMBER_RUN.match(text, m.end())
             if n and 6 <= _digits(n[0]) <= 18:
                 k = n.start() + (n[0][0] == "(")
                 out.append(("phone", k, n.end()))
-    for m in NUMBER_RUN.finditer(text):
-        if (m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in ".-/")) and PHONE_ALONE.match(m[0]) and 7 <= _digits(m[0]) <= 18:
-            out.append(("phone", m.start() + (m[0][0] == "("), m.end()))
     return out
 
 
-def _names(text: str, low: str, cues: list[tuple[int, str, str]]) -> list[tuple[str, int, int]]:
+def _after_role(text: str, end: int) -> tuple[int, int] | None:
+    """A full name behind a role: two or three capitalised words, or, behind a colon, two words that close the phrase."""
+    m = ROLE_NAME.match(text, end)
+    if m:
+        words = m[1].split()
+        while len(words) > 2 and words[-1].lower() in NOT_NAMES:
+            words.pop()
+        if len(words) >= 2 and not any(w.lower() in NOT_NAMES or w.isupper() and len(w) > 1 for w in words):
+            return m.start(1), m.start(1) + len(" ".join(words))
+    m = ROLE_LOWER.match(text, end)
+    if m and not any(w in NOT_NAMES for w in m[1].lower().split()):
+        return m.span(1)
+    return None
+
+
+def _names(text: str, cues: list[tuple[int, str, str]]) -> list[tuple[str, int, int]]:
     out = []
     for end, kind, cue in cues:
+        if kind == "role":
+            span = _after_role(text, end)
+            if span:
+                out.append(("name", *span))
+            continue
         if kind == "name":
             m = AFTER_CUE.match(text, end)
         elif kind == "title":
             m = AFTER_TITLE.match(text, end)
         elif kind == "end" and cue == "felt unwell":
-            start = max(0, end - len(cue) - 90)
-            m = BEFORE_END.search(text[start : end - len(cue)])
+            # Back to the last mark that a name cannot hold.
+            stop = end - len(cue)
+            start = max(text.rfind(c, 0, stop) for c in "\n;:/") + 1
+            m = BEFORE_END.search(text[start:stop])
             if m and _is_name(m[1], True):
                 out.append(("name", start + m.start(1), start + m.end(1)))
             continue
@@ -165,6 +294,10 @@ def _names(text: str, low: str, cues: list[tuple[int, str, str]]) -> list[tuple[
             continue
         if m:
             name = _cut_name(m[1])
+            if kind == "title" and name[:1].isupper() and "," not in name:
+                # Behind a title a word in lower case goes on with the sentence.
+                while " " in name and name.rsplit(" ", 1)[1].islower():
+                    name = name.rsplit(" ", 1)[0]
             if "," in name:
                 # Surname, Given: only if both look like it; else the comma ends the name.
                 a, b = name.split(",", 1)
@@ -175,25 +308,33 @@ def _names(text: str, low: str, cues: list[tuple[int, str, str]]) -> list[tuple[
     return out
 
 
-def free_text_items(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the personal items of a text, 0-based, not overlapping, in order."""
+def anchored(text: str) -> dict[str, list]:
+    """Anchors of a text by class: email and street as spans, digit as places, cue as (end, class, cue)."""
     low = lowered(text)
-    cues: list[tuple[int, str, str]] = []
-    at = False
-    for end, found in anchors().iter(low):
-        for kind, cue in found:
-            if kind == "email":
-                at = True
-                continue
+    found: dict[str, list] = {"email": [], "street": [], "digit": [], "cue": []}
+    for end, hits in anchors().iter(low):
+        for kind, cue in hits:
             begin = end - len(cue) + 1
-            if kind == "title" and text[begin].islower():
+            if kind == "digit":
+                found["digit"].append(end)
+            elif kind == "email":
+                # Of a written form the letters count.
+                found["email"].append((begin + (cue[0] == " "), end + 1 - (cue[-1] == " ")))
+            elif kind == "street":
+                found["street"].append((begin, end + 1))
+            elif kind == "title" and text[begin].islower():
                 continue
-            if (begin == 0 or not low[begin - 1].isalnum()) and (not cue[-1].isalnum() or end + 1 == len(low) or not low[end + 1].isalpha()):
-                cues.append((end + 1, kind, cue))
-    found = [("email", m.start(1), m.end()) for m in EMAIL.finditer(text)] if at else []
-    found += [("address", m.start(), m.end()) for m in ADDRESS.finditer(text)]
-    found += _numbers(text, low, cues)
-    found += _names(text, low, cues)
+            elif (begin == 0 or not low[begin - 1].isalnum()) and (not cue[-1].isalnum() or end + 1 == len(low) or not low[end + 1].isalpha()):
+                found["cue"].append((end + 1, kind, cue))
+    return found
+
+
+def free_text_items(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the personal items of a text, 0-based, not overlapping, in order."""
+    at = anchored(text)
+    found = _emails(text, at["email"]) + _addresses(text, at["street"])
+    found += _numbers(text, _digit_starts(text, at["digit"]), at["cue"])
+    found += _names(text, at["cue"])
     found.sort(key=lambda x: (KINDS.index(x[0]), x[1], -x[2]))
     kept: list[tuple[str, int, int]] = []
     for x in found:
@@ -206,7 +347,13 @@ def person_items(text: str) -> list[tuple[str, int, int]]:
     """Items of a field that holds the name of a person, maybe with a contact beside it."""
     contact = [x for x in free_text_items(text) if x[0] != "name"]
     if not contact:
-        for m in NUMBER_RUN.finditer(text):
+        done = 0
+        for i in _digit_starts(text, anchored(text)["digit"]):
+            m = NUMBER_RUN.match(text, i - 1) if i and text[i - 1] in "+(" else None
+            m = m or NUMBER_RUN.match(text, i)
+            if i < done:
+                continue
+            done = m.end()
             if _digits(m[0]) >= 7 and re.search(r"[^\W\d_]{2}", text[: m.start()]) and text[m.start() - 1] in " (":
                 contact.append(("phone", m.start() + (m[0][0] == "("), m.end()))
     name = text[: contact[0][1]] if contact else text
