@@ -71,3 +71,16 @@ def test_long_text_in_pieces(rows):
     at = S.CHUNK // 2 - 100
     docs = [(1, long), (2, "q" * 50 + long[at : at + 400]), (3, long[-300:] + "!")]
     assert found(rows, docs) == {1: 700, 2: 400, 3: 300}
+
+
+def test_many_asks_shuffle_only_the_asked(rows, monkeypatch):
+    """The path beyond the broadcast gives the same."""
+    import random
+
+    g = random.Random(4)
+    text = lambda n: "".join(g.choice("abcdefgh \n") for _ in range(n))
+    common = [text(400) for _ in range(3)]
+    docs = rows([(i, text(300) + common[i % 3] + text(200), "x") for i in range(9)] + [(20 + i, text(700), "x") for i in range(20)], "doc_id long, text string, extra string")
+    want = sorted(map(tuple, S.shared_characters(docs).collect()))
+    monkeypatch.setattr(S, "FEW_BYTES", 0)
+    assert sorted(map(tuple, S.shared_characters(docs).collect())) == want and len(want) == 9

@@ -5,8 +5,8 @@ shingles all runs of ``SHINGLE`` characters, and a band is one row, so two equal
 their smallest shingle hash (neighbouring windows mostly share it, which leaves about one stored shingle in
 50 characters). A stored shingle "owns" the consecutive windows whose minimum it is.
 
-Colliding shingles are verified exactly. Occurrences are grouped to classes by the hash of all text their
-windows cover: a class with two records is shared as a whole. What remains (the edges of copied passages)
+Colliding shingles are verified. Occurrences with one shingle are grouped to classes by the 64-bit hash of all text
+their windows cover: a class with two records is shared as a whole. What remains (the edges of copied passages)
 is compared character by character inside a collision group, one representative per class, or, where a
 group has more than ``PAIRS`` classes, by joining the hashes of its single windows, so no group is expanded
 into pairs and none is cut. The spans found are united per record.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import joined, written
+from ..session import UNPACKED, bytes_of, joined, written
 
 SPAN = 160
 SHINGLE = 64
@@ -35,8 +35,10 @@ CHUNK = 400_000
 
 _B = 0x9E3779B97F4A7C15 | 1
 _STORED = "fp long, ctx long, doc_id long, place long"
-#: Rows up to which a written side of a join is broadcast (two or three longs each); beyond, it is shuffled.
-FEW = 500_000
+#: Bytes, unpacked, up to which a written side of a join is broadcast; beyond, it is shuffled.
+FEW_BYTES = 64 << 20
+#: Bits of the table of asked records: per record, and at most.
+BITS, MOST_BITS = 16, 1 << 31
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -248,12 +250,35 @@ def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
 
+def _asked_texts(documents: DataFrame, asks: DataFrame) -> DataFrame:
+    """The records asked for, with what is asked: by broadcast where the asks are few, else by a shuffle of hardly more
+    than these records, as a bit table of their ids, bounded in size, goes over the texts first."""
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if UNPACKED * bytes_of(asks) <= FEW_BYTES:
+        return texts.join(F.broadcast(asks), "doc_id")
+    size = 1 << 16
+    while size < min(BITS * asks.count(), MOST_BITS):
+        size *= 2
+    bits = np.zeros(size // 8, np.uint8)
+    for r in asks.select("doc_id").toLocalIterator():
+        k = int(_mix(np.array([r.doc_id], np.int64).view(np.uint64))[0]) & (size - 1)
+        bits[k >> 3] |= 1 << (k & 7)
+    table = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = _mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(size - 1)
+            yield b.filter(pa.array((table.value[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+
+    return texts.where("doc_id is not null").mapInArrow(asked, "doc_id long, text string").join(asks.hint("merge"), "doc_id")
+
+
 def shared_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, a, b): spans [a, b) of records that also stand in another record; spans may overlap."""
     fps = written(shingles(documents), "shingles")
     # Collisions between records, counted before any shuffle of the rows themselves.
     multi = fps.groupBy("fp").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("fp")
-    hits = joined(fps, written(multi, "collisions"), ["fp"], "inner", FEW)
+    hits = joined(fps, written(multi, "collisions"), ["fp"], "inner", FEW_BYTES)
     hits = written(hits, "hits").select(
         "fp", "ctx", "doc_id", F.expr("cast(place >> 16 as int)").alias("lo"),
         F.expr("cast((place >> 16) + ((place >> 8) & 255) as int)").alias("pos"), F.expr("cast((place >> 16) + (place & 255) as int)").alias("hi"),
@@ -274,8 +299,7 @@ def shared_spans(documents: DataFrame) -> DataFrame:
     # The size of the group rides on the sign of n: negative for large groups.
     signed = F.when(F.col("size") > PAIRS, -F.col("n")).otherwise(F.col("n")).alias("n")
     asks = written(asked.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "ctx", signed, "pos", "lo", "hi")).alias("asks")), "asks")
-    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = joined(texts, asks, ["doc_id"], "inner", FEW // 10).select("doc_id", "text", "asks").mapInArrow(
+    parts = _asked_texts(documents, asks).select("doc_id", "text", "asks").mapInArrow(
         _cut_kernel, "fp long, ctx long, n int, doc_id long, pos int, lo int, hi int, part string"
     )
     parts = written(parts, "parts")
