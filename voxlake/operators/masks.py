@@ -29,6 +29,19 @@ def select(long: DataFrame, mask: DataFrame) -> DataFrame:
     return long.join(points(mask), XYZ, "left_semi")
 
 
+def within(df: DataFrame, mask: DataFrame | None, threshold: float = SKIP) -> DataFrame:
+    """Voxels (rows with x, y, z) that a temporal operator takes up: all without a mask, else those of at least the threshold."""
+    if mask is None:
+        return df
+    m = mask.where((F.col("weight") >= threshold) & ~F.isnan("weight")).select(*XYZ).distinct()
+    return df.join(m, XYZ, "left_semi")
+
+
+def skipped(result: DataFrame, every: DataFrame, on: list[str], value: str) -> DataFrame:
+    """A result with a NaN for every voxel that a mask left out; ``every`` has the rows (``on``) of the whole image."""
+    return every.select(*on).join(result, on, "left").withColumn(value, F.coalesce(value, F.lit(NAN))).select(*result.columns)
+
+
 def clean(long: DataFrame, min_frames: int = 20, min_sd: float = 1e-6) -> DataFrame:
     """Voxels whose series has no NaN and, beyond ``min_frames`` frames, varies."""
     g = long.groupBy("voxel").agg(

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import masks
+
 MM_PER_DEGREE = math.pi * 50 / 180
 BINS = 4096
 
@@ -94,11 +96,26 @@ def frame_map(flags: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scrub(long: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Listed frames (keys, t) removed, the rest renumbered densely within the keys.
+    """Listed frames (keys, t) removed, the rest renumbered densely within the keys; keys that the list lacks count for all.
 
     The new numbers come from the distinct frames, one row each, not from the samples.
     """
     every = long.select(*keys, "t").distinct()
-    kept = every.join(frames.select(*keys, "t"), [*keys, "t"], "left_anti").withColumn("flagged", F.lit(0))
+    on = [k for k in keys if k in frames.columns] + ["t"]
+    kept = every.join(frames.select(*on), on, "left_anti").withColumn("flagged", F.lit(0))
     out = long.join(frame_map(kept, keys), [*keys, "t"])
     return out.drop("t").withColumnRenamed("new_t", "t").select(*long.columns)
+
+
+def motion_scrubbing(
+    long: DataFrame, rp: DataFrame, mask: DataFrame | None = None, fmt: str = "spm", fd_threshold: float = 1.0, dvars_threshold: float = 0.05, modal: bool = False,
+) -> dict[str, DataFrame]:
+    """One image and its realignment parameters (t, c1..c6) to fd (t, fd), dvars (t, dvars), flagged (t, flagged) and the
+    scrubbed image. The metrics are those of the mask's members; a frame without parameters has no displacement.
+    """
+    fd = framewise_displacement(reordered(rp, fmt).withColumn("_k", F.lit(0)), ["_k"]).select("t", "fd")
+    inside = long if mask is None else masks.select(long, mask)
+    dv = dvars_modal(inside) if modal else dvars_range(inside)
+    flags = flagged(dv.join(fd, "t", "left").withColumn("_k", F.lit(0)), ["_k"], fd_threshold, dvars_threshold).drop("_k")
+    kept = scrub(long.withColumn("_k", F.lit(0)), flags.where("flagged = 1"), ["_k"]).drop("_k")
+    return {"fd": fd, "dvars": dv, "flagged": flags, "scrubbed": kept}

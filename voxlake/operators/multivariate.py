@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from .temporal import map_series
 
 MAX_FRAMES = 8192
+#: Partial sums of frame matrices after the first step of the summation.
+STEP = 32
 
 
 @dataclass
@@ -47,12 +49,18 @@ def gram(series: DataFrame, frames: int, center: str = "none", standardise: bool
                 elif center == "voxel":
                     y = y - y.mean(1, keepdims=True)
                 g, s, n = g + y.T @ y, s + y.sum(0), n + len(y)
-        flat = np.concatenate([g.ravel(), s, [n]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g.ravel(), s, [n]]).tobytes()], pa.binary())], ["m"])
 
-    rows = series.select("ts").mapInArrow(work, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(frames * frames + frames + 1)
-    flat[rows["i"]] = rows["v"]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(frames * frames + frames + 1)
+        for b in batches:
+            for m in b.column(0):
+                total += np.frombuffer(m.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+    # One row per partition, summed in two steps, so that no task reads them all; few are brought together at once.
+    parts = series.select("ts").mapInArrow(work, "m binary").withColumn("k", F.spark_partition_id() % STEP).repartition("k")
+    flat = np.frombuffer(parts.select("m").mapInArrow(add, "m binary").repartition(1).mapInArrow(add, "m binary").first().m)
     return flat[: frames * frames].reshape(frames, frames), flat[frames * frames : -1], int(flat[-1])
 
 

@@ -185,18 +185,15 @@ def bandpass_fft(series: DataFrame, frames: int, tr: float, f1: float, f2: float
 def bandpass_kernel(long: DataFrame, frames: int, tr: float, f1: float, f2: float, keep_mean: bool = False) -> DataFrame:
     """The same as a circular convolution within each voxel: voxel, t, value.
 
-    The kernel is an array of one value per lag in the plan itself.
+    The kernel's circulant (frames x frames) multiplies batches of series.
     """
-    h = spectrum.kernel(spectrum.attenuation(frames, tr, f1, f2, keep_mean), frames)
-    lit = F.array(*[F.lit(float(c)) for c in h])
-    out = F.transform(
-        F.sequence(F.lit(0), F.lit(frames - 1)),
-        lambda t: F.aggregate(F.arrays_zip(F.col("ts"), F.sequence(F.lit(0), F.lit(frames - 1)).alias("s")), F.lit(0.0), lambda acc, p: acc + p["ts"] * F.element_at(F.col("h"), F.pmod(t - p["s"], F.lit(frames)) + 1)),
-    )
     from .layouts import series_from_long
 
-    s = series_from_long(long.select("voxel", "t", "v")).withColumn("h", lit)
-    return s.select("voxel", F.posexplode(out).alias("t", "value"))
+    h = np.asarray(spectrum.kernel(spectrum.attenuation(frames, tr, f1, f2, keep_mean), frames), float)
+    k = np.arange(frames)
+    circulant = h[(k[None, :] - k[:, None]) % frames]  # row s: what frame s gives to every frame
+    out = map_series(series_from_long(long.select("voxel", "t", "v")), lambda y: y @ circulant)
+    return out.select("voxel", F.posexplode("ts").alias("t", "value"))
 
 
 def attenuation_table(spark, frames: int, tr: float, f1: float, f2: float, keep_mean: bool = False, rolloff: float | None = None) -> DataFrame:

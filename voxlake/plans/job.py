@@ -13,9 +13,10 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import layouts, masks, motion, spatial, temporal
+from ..operators import layouts, masks, motion, multivariate, spatial, temporal
+from ..session import written
 
 NAME = re.compile(r"\$\{([^${}]+)\}")
 
@@ -47,19 +48,25 @@ class Operator:
     code: str
     category: str
     needs: tuple[str, ...]
-    plan: Callable[[dict[str, DataFrame], Task], DataFrame]
+    may: tuple[str, ...]
+    outputs: tuple[str, ...]
+    plan: Callable[[dict[str, DataFrame], Task], DataFrame | dict[str, DataFrame]]
 
 
 REGISTRY: dict[str, Operator] = {}
 
 
-def operator(code: str, category: str, *needs: str):
-    """Register a planning function under a code; a code stands for one operator only."""
+def operator(code: str, category: str, *needs: str, may: tuple[str, ...] = (), outputs: tuple[str, ...] = ("output",)):
+    """Register a planning function under a code; a code stands for one operator only.
+
+    ``needs`` and ``may`` are its arguments, ``outputs`` those that name a result, of which one is needed; any other is an
+    error. The function gives the output, or several by the argument that names each; only those named are kept.
+    """
 
     def add(f):
         if code in REGISTRY:
             raise JobError(f"operator {code} is registered twice")
-        REGISTRY[code] = Operator(code, category, needs, f)
+        REGISTRY[code] = Operator(code, category, needs, may, outputs, f)
         return f
 
     return add
@@ -149,7 +156,8 @@ def skipped(spec: str) -> set[int]:
 
 
 def compile_job(text: str, inputs: dict[str, DataFrame], given: dict[str, str] | None = None, config: dict[str, str] | None = None, skip: str = "") -> dict[str, DataFrame]:
-    """All named outputs of a job as lazy DataFrames. Every task is checked before the first is planned."""
+    """All named outputs of a job. Every task is checked before the first is planned; an output that one task reads at most
+    stays lazy and becomes part of its plan, others are written once."""
     params, tasks = parse(text)
     tasks = substituted(tasks, {**(config or {}), **params, **(given or {})})
     leave = skipped(skip)
@@ -157,11 +165,24 @@ def compile_job(text: str, inputs: dict[str, DataFrame], given: dict[str, str] |
     for t in tasks:
         if t.code not in REGISTRY:
             raise JobError(f"unknown operator {t.code}; known: {', '.join(sorted(REGISTRY))}")
-        for need in (*REGISTRY[t.code].needs, "output"):
+        op = REGISTRY[t.code]
+        for need in op.needs:
             t.one(need)
+        if not any(t.args.get(k) for k in op.outputs):
+            raise JobError(f"task {t.code}: argument {' or '.join(op.outputs)} is missing")
+        known = {*op.needs, *op.may, *op.outputs}
+        strange = [k for k in t.args if k not in known]
+        if strange:
+            raise JobError(f"task {t.code}: unknown arguments {', '.join(strange)}; known: {', '.join(sorted(known))}")
     frames = dict(inputs)
-    for t in tasks:
-        frames[t.one("output")] = REGISTRY[t.code].plan(frames, t)
+    for i, t in enumerate(tasks):
+        made = REGISTRY[t.code].plan(frames, t)
+        for key, df in (made if isinstance(made, dict) else {"output": made}).items():
+            if t.has(key):
+                name = t.one(key)
+                # What several tasks read is computed once, as a table in the shared folder.
+                readers = sum(name in [*vs, *re.findall(r"\{(\w+)\}", " ".join(vs))] for u in tasks[i + 1 :] for vs in u.args.values())
+                frames[name] = written(df, f"job-{name}") if readers > 1 else df
     return frames
 
 
@@ -183,65 +204,138 @@ def _mask(fr, t):
     return masks.apply(frame(fr, t.one("input")), frame(fr, t.one("mask")))
 
 
-@operator("roi", "ROI", "input", "center")
+@operator("roi", "ROI", "input", "center", may=("sphere", "cube", "value"), outputs=("output", "mask"))
 def _roi(fr, t):
-    center = tuple(float(v) for v in t.one("center").split(","))
+    """``mask`` is another name of the output."""
+    center = tuple(float(v) for v in re.split(r"[,\s]+", t.one("center")))
     sphere = float(t.one("sphere")) if t.has("sphere") else None
-    cube = tuple(float(v) for v in t.one("cube").split(",")) if t.has("cube") else None
+    cube = tuple(float(v) for v in re.split(r"[,\s]+", t.one("cube"))) if t.has("cube") else None
     cells = frame(fr, t.one("input")).where("t = 0").select("x", "y", "z", "v")
-    return masks.region(cells, center, sphere, cube, float(t.one("value", "1"))).withColumnRenamed("v", "weight")
+    out = masks.region(cells, center, sphere, cube, float(t.one("value", "1"))).withColumnRenamed("v", "weight")
+    return {"output": out, "mask": out}
+
+
+def _mask_of(fr, t) -> DataFrame | None:
+    return frame(fr, t.one("mask")) if t.has("mask") else None
+
+
+def _frames(df: DataFrame) -> int:
+    """Number of frames of an image."""
+    return int(df.agg(F.max("t")).first()[0]) + 1
+
+
+def _wide(spark, c: multivariate.Components) -> DataFrame:
+    """Courses of components as columns: t, r1, r2, ..."""
+    rows = [(i, *map(float, r)) for i, r in enumerate(c.vectors)]
+    return spark.createDataFrame(rows, "t int, " + ", ".join(f"r{k + 1} double" for k in range(c.vectors.shape[1])))
 
 
-@operator("timecourse", "Temporal", "input", "mask")
+@operator("timecourse", "Temporal", "input", "mask", may=("algorithm", "retainComponents", "minVariance", "useStandardScores", "mask2"), outputs=("output", "spatialMap", "eigenvalues"))
 def _timecourse(fr, t):
-    s = masks.select(frame(fr, t.one("input")), frame(fr, t.one("mask")))
-    return {"mean": temporal.mean_course, "stddev": temporal.stddev_course}[t.one("algorithm", "mean")](s)
+    """Mean or deviation (t, value), or components as columns (t, r1, ...), their maps and eigenvalues."""
+    src, how = frame(fr, t.one("input")), t.one("algorithm", "mean")
+    s = masks.select(src, frame(fr, t.one("mask")))
+    s = s.join(masks.clean(s), "voxel", "left_semi")  # without voxels left out before
+    if how in ("mean", "stddev"):
+        return {"mean": temporal.mean_course, "stddev": temporal.stddev_course}[how](s)
+    spark, n = src.sparkSession, _frames(src)
+    keep, variance = int(t.one("retainComponents", "0")), float(t.one("minVariance", "0"))
+    series = layouts.series_from_long(s)
+    if how == "tpca":
+        c, maps = multivariate.temporal_pca(series, n, keep, variance, t.has("useStandardScores"))
+    elif how == "spca":
+        c, maps = multivariate.spatial_pca(series, n, keep, variance)
+    elif how == "csp":
+        c, maps = multivariate.common_spatial_patterns(series, layouts.series_from_long(masks.select(src, frame(fr, t.one("mask2")))), n, keep or None), None
+    else:
+        raise JobError(f"task timecourse: no algorithm {how}")
+    out = {"output": _wide(spark, c), "eigenvalues": multivariate.eigenvalues(spark, c)}
+    return out if maps is None else {**out, "spatialMap": maps}
+
+
+@operator("paste", "Util", "inputs")
+def _paste(fr, t):
+    """Columns of several tables (t and any others) side by side by frame: t, r1, r2, ..."""
+    out, k = None, 0
+    for name in t.args["inputs"]:
+        df = frame(fr, name)
+        cols = [c for c in df.columns if c != "t"]
+        df = df.select("t", *[F.col(c).cast("double").alias(f"r{k + i + 1}") for i, c in enumerate(cols)])
+        k += len(cols)
+        out = df if out is None else out.join(df, "t")
+    return out
 
 
-@operator("correlation", "Temporal", "input", "regressor")
+@operator("correlation", "Temporal", "input", "regressor", may=("mask", "conversion", "delay", "length"))
 def _correlation(fr, t):
+    src = frame(fr, t.one("input"))
     length = int(t.one("length")) if t.has("length") else None
-    return temporal.correlate(frame(fr, t.one("input")), frame(fr, t.one("regressor")), t.one("conversion", "z"), int(t.one("delay", "0")), length)
+    inside = masks.within(src, _mask_of(fr, t))
+    out = temporal.correlate(inside, frame(fr, t.one("regressor")), t.one("conversion", "z"), int(t.one("delay", "0")), length)
+    return masks.skipped(out, src.select("voxel").distinct(), ["voxel"], "value") if t.has("mask") else out
+
+
+def _design(df: DataFrame):
+    """Regressors (t and columns) as a matrix of frames x columns; one row per frame, so it fits the driver."""
+    cols = [c for c in df.columns if c != "t"]
+    rows = df.orderBy("t").limit(multivariate.MAX_FRAMES + 1).toPandas()
+    if len(rows) > multivariate.MAX_FRAMES:
+        raise JobError(f"more than {multivariate.MAX_FRAMES} frames of regressors")
+    return rows[cols].to_numpy(float)
 
 
-@operator("regression", "Temporal", "input", "regressor")
+@operator("regression", "Temporal", "input", may=("regressor", "regressors", "mask", "zscore"), outputs=("output", "residuals", "fitted", "betas"))
 def _regression(fr, t):
+    """Least squares with intercept on one regressor or the columns of a table; outside a mask NaN."""
+    if t.has("regressor") == t.has("regressors"):
+        raise JobError("task regression: one of regressor and regressors is needed")
     src = frame(fr, t.one("input"))
-    keys = [c for c in src.columns if c not in ("t", "v")]
-    r = temporal.simple_regression(src, frame(fr, t.one("regressor"))).withColumnRenamed("value", "v")
-    return r.join(src.select(*keys).distinct(), "voxel").select(*keys, "t", "v")
+    design = _design(frame(fr, t.one("regressors" if t.has("regressors") else "regressor")))
+    series = masks.within(layouts.series_from_long(src), _mask_of(fr, t))
 
+    def made(what: str) -> DataFrame:
+        df = layouts.long_from_series(temporal.multiple_regression(series, design, what, t.has("zscore")))
+        return masks.skipped(df, src, [c for c in src.columns if c != "v"], "v") if t.has("mask") and what != "betas" else df
 
-@operator("bandpass", "Temporal", "input", "frames", "TR", "f1", "f2")
+    res = made("residual")
+    return {"output": res, "residuals": res, **{k: made(k) for k in ("fitted", "betas") if t.has(k)}}
+
+
+@operator("bandpass", "Temporal", "input", "TR", "f1", "f2", may=("frames", "keepMean", "mask", "rolloff"), outputs=("output", "filtered"))
 def _bandpass(fr, t):
-    s = layouts.series_from_long(frame(fr, t.one("input")))
-    out = temporal.bandpass_fft(s, int(t.one("frames")), float(t.one("TR")), float(t.one("f1")), float(t.one("f2")), t.has("keepMean"))
-    return layouts.long_from_series(out)
+    src = frame(fr, t.one("input"))
+    n = int(t.one("frames")) if t.has("frames") else _frames(src)
+    s = masks.within(layouts.series_from_long(src), _mask_of(fr, t))
+    rolloff = float(t.one("rolloff")) if t.has("rolloff") else None
+    out = layouts.long_from_series(temporal.bandpass_fft(s, n, float(t.one("TR")), float(t.one("f1")), float(t.one("f2")), t.has("keepMean"), rolloff))
+    if t.has("mask"):
+        out = masks.skipped(out, src, [c for c in src.columns if c != "v"], "v")
+    return {"output": out, "filtered": out}
 
 
 @operator("scrubbing", "Artifacts", "input", "flagged")
 def _scrubbing(fr, t):
-    src = frame(fr, t.one("input"))
-    keys = [c for c in ("image",) if c in src.columns]
-    flagged = frame(fr, t.one("flagged"))
-    from pyspark.sql import functions as F
-
-    if not keys:
-        src, flagged, keys = src.withColumn("_k", F.lit(0)), flagged.withColumn("_k", F.lit(0)), ["_k"]
-    elif "image" not in flagged.columns:
-        flagged = src.select("image").distinct().join(F.broadcast(flagged), F.lit(True))
-    return motion.scrub(src, flagged, keys).drop("_k")
-
-
-@operator("motionscrubbing", "Artifacts", "metrics")
-def _flags(fr, t):
-    keys = [k for k in t.args.get("keys", []) if k]
-    m = frame(fr, t.one("metrics"))
-    from pyspark.sql import functions as F
-
-    m = m if keys else m.withColumn("_k", F.lit(0))
-    out = motion.flagged(m, keys or ["_k"], float(t.one("fdthreshold", "1.0")), float(t.one("dvarsthreshold", "0.05")))
-    return out.where("flagged = 1").drop("_k", "flagged")
+    """Listed frames out; a list without an image counts for all images."""
+    src, flagged = frame(fr, t.one("input")), frame(fr, t.one("flagged"))
+    if "flagged" in flagged.columns:
+        flagged = flagged.where("flagged = 1")
+    if "image" in src.columns:
+        return motion.scrub(src, flagged, ["image"])
+    return motion.scrub(src.withColumn("_k", F.lit(0)), flagged, ["_k"]).drop("_k")
+
+
+@operator("motionscrubbing", "Artifacts", may=("metrics", "keys", "input", "rp", "rpformat", "mask", "usemodal", "fdthreshold", "dvarsthreshold"), outputs=("output", "fd", "dvars", "flagged"))
+def _motion_scrubbing(fr, t):
+    """An image and its realignment parameters to the scrubbed image, its metrics and flags; or flagged frames of ready metrics."""
+    limits = float(t.one("fdthreshold", "1.0")), float(t.one("dvarsthreshold", "0.05"))
+    if t.has("metrics"):
+        keys = [k for k in t.args.get("keys", []) if k]
+        m = frame(fr, t.one("metrics"))
+        m = m if keys else m.withColumn("_k", F.lit(0))
+        return motion.flagged(m, keys or ["_k"], *limits).where("flagged = 1").drop("_k", "flagged")
+    image, rp = frame(fr, t.one("input")), frame(fr, t.one("rp"))
+    made = motion.motion_scrubbing(image, rp, _mask_of(fr, t), t.one("rpformat", "spm"), *limits, t.has("usemodal"))
+    return {"output": made["scrubbed"], **{k: made[k] for k in ("fd", "dvars", "flagged")}}
 
 
 @operator("smoothing", "Spatial", "input", "kernelSize", "sizes")
