@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import checkpointed
-
 XYZ = ["x", "y", "z"]
 
 
@@ -242,33 +242,48 @@ def affine_targets(spark, dims: tuple[int, int, int], to_source: np.ndarray) ->
 # Distances and arithmetic
 
 
-def border_distance(cells: DataFrame, sizes: tuple[float, float, float], reach: int = 2) -> DataFrame:
+def _along(points: DataFrame, axis: str, size: float, low: int, high: int) -> DataFrame:
+    """One axis of a distance transform: from points (x, y, z, d) the least d + (step * size)^2 at every place low..high of
+    each line that holds a point. A line is no longer than the image is wide."""
+    rest = [c for c in XYZ if c != axis]
+    line = points.groupBy(*rest).agg(F.collect_list(F.struct(F.col(axis).cast("long").alias("p"), "d")).alias("l"))
+    line = line.select(*[F.col(c).cast("long").alias(c) for c in rest], F.col("l.p").alias("p"), F.col("l.d").alias("d"))
+    to = np.arange(low, high + 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = [
+                (((to[:, None] - np.asarray(p.as_py())[None, :]) * size) ** 2 + np.asarray(d.as_py())[None, :]).min(1)
+                for p, d in zip(b.column(2), b.column(3))
+            ]
+            lines = np.repeat(np.arange(b.num_rows), len(to))
+            cols = {rest[0]: b.column(0).take(pa.array(lines)), rest[1]: b.column(1).take(pa.array(lines)), axis: pa.array(np.tile(to, b.num_rows))}
+            yield pa.RecordBatch.from_arrays([*[cols[c] for c in XYZ], pa.array(np.concatenate(out))], [*XYZ, "d"])
+
+    return line.mapInArrow(work, "x long, y long, z long, d double")
+
+
+def border_distance(cells: DataFrame, sizes: tuple[float, float, float]) -> DataFrame:
     """Distance in mm of mask cells (x, y, z, on) to the nearest off-mask cell that touches the mask: x, y, z, dist.
 
-    Candidate pairs come from a grid of blocks: a mask cell looks into its own and the neighbouring blocks of
-    ``reach`` cells; the few that find nothing nearer than a block look at ever wider rings. So the join is an
-    equi-join on blocks, never all cells with all.
+    A distance transform by axes: squared distances along x from the border cells of every line, then along y, then along
+    z, each a group by line. So the work is a few times the volume, however far the border is. Without a border no rows.
     """
     on, off = cells.where("on = 1").select(*XYZ), cells.where("on = 0").select(*XYZ)
     from .masks import dilate
 
-    border = off.join(dilate(on), XYZ, "left_semi")
-    far = min(sizes)
-    left, found, ring, size = on, None, 1, reach
-    while True:
-        b = border.select(*[F.col(c).alias(f"b{c}") for c in XYZ], *[F.floor(F.col(c) / size).alias(f"k{c}") for c in XYZ])
-        r = range(-ring, ring + 1)
-        look = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in r for j in r for k in r])
-        a = left.withColumn("o", F.explode(look)).select(*XYZ, *[(F.floor(F.col(c) / size) + F.col(f"o.{c}")).alias(f"k{c}") for c in XYZ])
-        d = F.sqrt(sum((F.pow((F.col(c) - F.col(f"b{c}")) * s, 2) for c, s in zip(XYZ, sizes)), F.lit(0.0)))
-        near = a.join(b, [f"k{c}" for c in XYZ]).groupBy(*XYZ).agg(F.min(d).alias("dist"))
-        # Within size * ring cells of every side all border cells were seen.
-        sure = near.where(F.col("dist") <= size * ring * far)
-        found = sure if found is None else found.unionByName(sure)
-        left = checkpointed(left.join(sure, XYZ, "left_anti"))
-        if size >= 1 << 20 or not left.limit(1).count() or not border.limit(1).count():
-            return found
-        size *= 4
+    border = off.join(dilate(on), XYZ, "left_semi").withColumn("d", F.lit(0.0))
+    box = on.agg(*[f(c).alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if box["lox"] is None:
+        return on.withColumn("dist", F.lit(None).cast("double")).where("false")
+    d = border
+    for c, size in zip(XYZ, sizes):
+        d = _along(d, c, float(size), int(box[f"lo{c}"]), int(box[f"hi{c}"]))
+    whole = on.select(*[F.col(c).cast("long").alias(c) for c in XYZ]).distinct()
+    out = whole.join(d, XYZ).withColumn("dist", F.sqrt("d"))
+    return out.select(*[F.col(c).cast(on.schema[c].dataType).alias(c) for c in XYZ], "dist")
 
 
 def combine(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:

@@ -282,6 +282,8 @@ def _motion_table(spark, d):
     g = e.groupBy("day").pivot("event_type").agg(F.avg("value"))
     n = e.groupBy("day").agg((F.count("*") / 1000).alias("c6"))
     names = sorted(c for c in g.columns if c != "day")
+    if len(names) > 5:
+        raise ValueError(f"{len(names)} event types: with the count they are no six parameters")
     j = g.join(n, "day").select("day", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"c{i + 1}") for i, c in enumerate(names[:5])], "c6")
     first = e.agg(F.min("day").alias("first"))
     return j.join(F.broadcast(first), F.lit(True)).select(F.datediff("day", "first").alias("t"), *[f"c{i}" for i in range(1, 7)])
