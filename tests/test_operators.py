@@ -168,7 +168,7 @@ def test_border_distance(spark):
     on = np.zeros((9, 9, 9), bool)
     on[1:8, 1:8, 1:8] = True
     cells = spark.createDataFrame([(x, y, z, int(on[x, y, z])) for x in range(9) for y in range(9) for z in range(9)], "x int, y int, z int, on int")
-    got = values(spatial.border_distance(cells, (1.0, 2.0, 3.0), reach=1), "x", "y", "z", v="dist")
+    got = values(spatial.border_distance(cells, (1.0, 2.0, 3.0)), "x", "y", "z", v="dist")
     off = np.argwhere(~on)
     for p in np.argwhere(on)[::17]:
         want = np.sqrt((((off - p) * [1, 2, 3]) ** 2).sum(1)).min()
@@ -179,3 +179,22 @@ def test_border_distance(spark):
 def test_ranks(spark):
     d = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 3.0), ("b", 2.0)], "k string, v double")
     assert sorted(r["rank"] for r in temporal.average_rank(d, ["k"], "v").collect()) == [1.0, 1.0, 2.5, 2.5]
+
+
+def test_worth_of_a_fit(spark):
+    import numpy as np
+
+    from voxlake.operators import temporal
+
+    g = np.random.default_rng(0)
+    x = g.normal(size=(20, 2))
+    x = np.c_[x, x[:, 0] * 2]  # one column depends on another
+    y = g.normal(size=(3, 20))
+    s = spark.createDataFrame([(k, list(map(float, y[k]))) for k in range(3)], "voxel long, ts array<double>")
+    chi2, rank, spread = temporal.regression_fit(s, x)
+    full = np.c_[np.ones(20), x[:, :2]]
+    res = y.T - full @ np.linalg.lstsq(full, y.T, rcond=None)[0]
+    got = {r.voxel: r.chi2 for r in chi2.collect()}
+    assert rank == 3 and all(abs(got[k] - (res[:, k] ** 2).sum()) < 1e-9 for k in range(3))
+    _, _, plain = temporal.regression_fit(s, x[:, :2])
+    assert np.allclose(plain, np.linalg.inv(full.T @ full))

@@ -98,3 +98,17 @@ def test_dicom(spark, tmp_path):
     r = dicom.reliable(f).collect()
     assert [(x.instance, x.series.endswith("s1")) for x in r] == [(2, True)]
     assert {(x.key, x.value) for x in dicom.protocol_values(els).collect()} == {("a.b", "0x1"), ("c", "2")}
+
+
+def test_dicom_numbers_and_protocol(spark, tmp_path):
+    body = element(0x02, 0x13, "SH", b"V 1") + element(0x19, 0x1028, "FD", struct.pack("<d", 12.5)) + element(0x19, 0x1029, "FD", struct.pack("<3d", 0, 1.5, 3))
+    body += element(0x28, 0x10, "US", struct.pack("<H", 384)) + element(0x28, 0x11, "US", struct.pack("<H", 320))
+    body += element(0x29, 0x1020, "OB", b"### ASCCONV BEGIN ###\nsPat.lAccelFactPE = 2\nsKSpace.lPhaseEncodingLines\t = 64\n### ASCCONV END ###")
+    body += element(0x51, 0x100B, "LO", b"64*64") + element(0x51, 0x100C, "SH", b"FoV 192*192")
+    (tmp_path / "a.dcm").write_bytes(b"\0" * 128 + b"DICM" + body)
+    (tmp_path / "b.dcm").write_bytes(b"\0" * 128 + b"DICM" + element(0x10, 0x10, "PN", b"A^B"))
+    a, b = dicom.fields(dicom.elements(spark, str(tmp_path))).orderBy("path").collect()
+    assert (a.implementationversionname, a.matrixsize, a.fieldofview) == ("V 1", "64*64", "FoV 192*192")
+    assert (a.dicom_rows, a.dicom_columns, a.bandwidthperpixelphaseencode, a.mosaicrefacqtimes) == (384, 320, 12.5, [0.0, 1.5, 3.0])
+    assert (a.grappafactor, a.phaseencodinglines, a.dwelltime) == ("2", "64", 1 / (64 * 12.5))
+    assert b.dicom_rows is None and b.grappafactor is None and b.dwelltime is None

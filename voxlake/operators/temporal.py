@@ -148,6 +148,20 @@ def multiple_regression(series: DataFrame, design: np.ndarray, output: str = "re
     return map_series(series, solve)
 
 
+def regression_fit(series: DataFrame, design: np.ndarray) -> tuple[DataFrame, int, np.ndarray]:
+    """What the least-squares fits of :func:`multiple_regression` are worth: chi2 (sum of squared residuals) per voxel, the
+    rank of the design with its intercept, and (X'X)^-1, so that chi2 / (frames - rank) times it is the covariance of a
+    voxel's coefficients. Series with a NaN have a NaN."""
+    x = np.c_[np.ones(len(design)), np.asarray(design, float)]
+    size = np.linalg.norm(x, axis=0)
+    size = np.where(size > 0, size, 1)
+    rank = int(np.linalg.matrix_rank(x / size, tol=1e-12 * len(x)))
+    spread = np.linalg.pinv((x / size).T @ (x / size), rcond=1e-12) / np.outer(size, size)
+    res = multiple_regression(series, design)
+    chi2 = F.aggregate("ts", F.lit(0.0), lambda s, v: s + v * v)
+    return res.select(*[c for c in series.columns if c != "ts"], chi2.alias("chi2")), rank, spread
+
+
 def map_series(series: DataFrame, kernel) -> DataFrame:
     """A numpy kernel (voxels x frames to voxels x out) over the ``ts`` of L2, by Arrow batches.
 
