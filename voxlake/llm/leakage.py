@@ -248,7 +248,8 @@ class Judge:
         if len(words) < WINDOW or sum(len(places[x]) for x in common) < SHARED:
             return False
         hits = sorted((p, r, q) for x in common for p, r in here[x] for q in places[x])
-        if not self._bound(hits, skips, len(doc)):
+        hits = self._bound(hits, skips, len(doc))
+        if not hits:
             return False
         ahead, back = defaultdict(list), defaultdict(list)
         for a, b in skips:
@@ -265,26 +266,25 @@ class Judge:
         return False
 
     @staticmethod
-    def _bound(hits: list[tuple[int, int, int]], skips: list[tuple[int, int]], n: int) -> bool:
-        """Whether SHARED shingles of some window of the item are there near one offset, stretches all read or all skipped;
+    def _bound(hits: list[tuple[int, int, int]], skips: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
+        """The hits that belong to SHARED shingles of some window of the item near one offset, stretches all read or all skipped;
         where some are read and some skipped within a passage, the offset moves, and one damaged word is allowed."""
 
-        def close(q: list[int], least: int) -> bool:
+        def close(q: set[int], least: int) -> set[int]:
             if len(q) < least:
-                return False
-            q = sorted(set(q))
-            return any(b - a < WINDOW - 1 for a, b in zip(q, q[least - 1 :]))
+                return set()
+            q = sorted(q)
+            return {x for k in range(len(q) - least + 1) if q[k + least - 1] - q[k] < WINDOW - 1 for x in q[k : k + least]}
 
-        every = [h[2] for h in hits]
+        every = {h[2] for h in hits}
         if not close(every, SHARED):
-            return False
-        if skips and close(every, SHARED + 2):
-            return True
-        near: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for p, _, x in hits:
+            return []
+        near: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        for h in hits:
             # Offsets within 4 share one of two buckets.
-            near[0, (p - x) >> 3].append(x)
-            near[1, (p - x + 4) >> 3].append(x)
+            near[0, (h[0] - h[2]) >> 3].append(h)
+            near[1, (h[0] - h[2] + 4) >> 3].append(h)
+        kept: set[tuple[int, int, int]] = set()
         if skips:
             inside = [0] * (n + 1)
             for a, b in skips:
@@ -295,10 +295,16 @@ class Judge:
                 covered += inside[k]
                 at += covered == 0
                 place.append(at)
-            for p, _, x in hits:
-                near[2, (place[p] - x) >> 3].append(x)
-                near[3, (place[p] - x + 4) >> 3].append(x)
-        return any(close(q, SHARED) for q in near.values())
+            for h in hits:
+                near[2, (place[h[0]] - h[2]) >> 3].append(h)
+                near[3, (place[h[0]] - h[2] + 4) >> 3].append(h)
+            mixed = close(every, SHARED + 2)
+            kept.update(h for h in hits if h[2] in mixed)
+        for some in near.values():
+            if len(some) >= SHARED:
+                q = close({h[2] for h in some}, SHARED)
+                kept.update(h for h in some if h[2] in q)
+        return sorted(kept)
 
     def _reach(self, doc: list[str], jump: dict[int, list[int]], item: list[str], p: int, q: int, way: int, done: set) -> int:
         """Last word of the item matched going one way from doc[p] = item[q]."""
