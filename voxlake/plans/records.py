@@ -180,4 +180,6 @@ ORACLE = {
     "header_set": "SELECT header_id, 'HFS' AS patientposition, '7' AS seriesnumber FROM headerinfo",
     "header_scaling": "SELECT image, round(CASE WHEN slope = 0 THEN 0 ELSE CAST(inter AS DOUBLE) END, 4) AS zero, round(CASE WHEN slope = 0 THEN 100 ELSE 100 * CAST(slope AS DOUBLE) + CAST(inter AS DOUBLE) END, 4) AS hundred FROM image_header",
     "stored_values": "SELECT image, CASE WHEN r > -32769 AND r < 32768 THEN CAST(trunc(r) AS INTEGER) END AS raw FROM (SELECT image, CASE WHEN slope = 0 THEN 1234.56::DOUBLE ELSE (1234.56::DOUBLE - CAST(inter AS DOUBLE)) / CAST(slope AS DOUBLE) END AS r FROM image_header)",
+    # Closed form: in scaled mm x runs backwards, in world space x and y do, so of the inverse shift (-1, -2, -3) only y turns its sign.
+    "itk_matrix": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE WHEN j = 3 THEN CAST([-1, 2, -3][i + 1] AS DOUBLE) ELSE 0.0 END AS value FROM range(4) a(i), range(4) b(j)",
 }
