@@ -141,6 +141,27 @@ LANCZOS_T = f"""SELECT voxel, CAST(j AS INTEGER) AS t, {r("CASE WHEN count(*) =
   FROM (SELECT l.voxel, o.j, l.v, 1 + o.j * 1.5 - l.t AS d, l.t, floor(1 + o.j * 1.5) AS f FROM l, range(0, 40) o(j)) WHERE t BETWEEN f - 1 AND f + 2)
   GROUP BY voxel, j"""
 
+
+
+def many_betas(labels: tuple[int, ...]) -> str:
+    """Coefficients of the mean courses of regions by orthogonalising one after the other and substituting back."""
+    k = range(1, len(labels) + 1)
+    raw = ", ".join(f"avg(v) FILTER (label = {b}) AS m{i}" for i, b in zip(k, labels))
+    steps = ["o0 AS (SELECT t, " + ", ".join(f"m{i}, m{i} - avg(m{i}) OVER () AS x{i}" for i in k) + f" FROM (SELECT t, {raw} FROM l GROUP BY t))"]
+    for i in k:
+        q = f"x{i}" + "".join(f" - sum(x{i} * q{j}) OVER () / sum(q{j} * q{j}) OVER () * q{j}" for j in range(1, i))
+        steps.append(f"o{i} AS (SELECT *, {q} AS q{i} FROM o{i - 1})")
+    last = f"o{len(labels)}"
+    on = ", ".join(f"sum(v * q{i}) / sum(q{i} * q{i}) AS d{i}" for i in k)
+    mix = "".join(f", sum(x{j} * q{i}) / sum(q{i} * q{i}) AS r{i}_{j}" for i in k for j in range(i + 1, len(labels) + 1))
+    steps.append(f"b{len(labels) + 1} AS (SELECT voxel, avg(v) AS mv, {', '.join(f'avg(m{i}) AS a{i}' for i in k)}, {on}{mix} FROM l JOIN {last} USING (t) GROUP BY voxel)")
+    for i in reversed(k):
+        rest = "".join(f" - r{i}_{j} * b{j}" for j in range(i + 1, len(labels) + 1))
+        steps.append(f"b{i} AS (SELECT *, d{i}{rest} AS b{i} FROM b{i + 1})")
+    parts = ["mv" + "".join(f" - b{i} * a{i}" for i in k), *[f"b{i}" for i in k]]
+    return w(" UNION ALL ".join(f"SELECT voxel, {n} AS beta, {r(x)} AS value FROM b1" for n, x in enumerate(parts)), *steps)
+
+
 ORACLE = {
     "samples_long": w(f"SELECT voxel, x, y, z, t, {r('v')} AS v FROM l"),
     "mask_apply": w(f"SELECT voxel, t, CASE WHEN label = 2 THEN {r('v')} END AS v FROM l"),
@@ -180,6 +201,7 @@ ORACLE = {
         "p AS (SELECT voxel, t, v, s.value AS u, s7.value AS q FROM l JOIN s USING (t) JOIN s7 USING (t))",
         "c2 AS (SELECT voxel, covar_samp(u, u) AS uu, covar_samp(q, q) AS qq, covar_samp(u, q) AS uq, covar_samp(u, v) AS uv, covar_samp(q, v) AS qv, avg(v) AS mv, avg(u) AS mu, avg(q) AS mq FROM p GROUP BY voxel)",
         "k AS (SELECT voxel, mv, mu, mq, (qq * uv - uq * qv) / (uu * qq - uq * uq) AS b1, (uu * qv - uq * uv) / (uu * qq - uq * uq) AS b2 FROM c2)"),
+    "regress_many": many_betas((1, 2, 3, 5, 7)),
     "bandpass": w(f"SELECT voxel, t, {r('v')} AS value FROM f", *kernel(1, 11, False)),
     "bandpass_convolution": w(f"SELECT voxel, t, {r('v')} AS value FROM f", *kernel(1, 11, False)),
     "bandpass_keepmean": w(f"SELECT voxel, t, {r('v')} AS value FROM f", *kernel(2, 11, True)),
